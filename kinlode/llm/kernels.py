@@ -21,7 +21,18 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column, "").cast(pa.binary()).to_pylist()
 
 
-def text_chunks(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def raw_slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first row, end row, UTF-8 of the texts), about limit bytes at a time."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo, n = 0, len(column)
+    while lo < n:
+        before = sizes[lo - 1] if lo else 0
+        hi = min(n, max(lo + 1, int(np.searchsorted(sizes, before + limit, side="right"))))
+        yield lo, hi, raw_texts(column.slice(lo, hi - lo))
+        lo = hi
+
+
+def text_chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts, about limit bytes each; one longer text comes alone."""
     column = pc.fill_null(column, "")
     n = len(column)

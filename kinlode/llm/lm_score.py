@@ -155,16 +155,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
 
     for batch in batches:
-        for held, raw in zip(batch.column(0).to_pylist(), K.raw_texts(batch.column(1)), strict=True):
-            words = raw.lower().split()
-            if held:
-                for word in set(words):
-                    seen.setdefault(word, 0)
-            else:
-                seen.update(words)
-            if len(seen) > FLUSH:
-                yield out()
-                seen = Counter()
+        marks = batch.column(0).to_pylist()
+        for lo, hi, raws in K.raw_slices(batch.column(1)):
+            for held, raw in zip(marks[lo:hi], raws, strict=True):
+                words = raw.lower().split()
+                if held:
+                    for word in set(words):
+                        seen.setdefault(word, 0)
+                else:
+                    seen.update(words)
+                if len(seen) > FLUSH:
+                    yield out()
+                    seen = Counter()
     if seen:
         yield out()
 
@@ -252,7 +254,8 @@ def score_documents(docs: DataFrame, vocabulary_path: str, hot_words: int = HOT_
             names = ["doc_id", "tkey", "held_out", "word", "tf", "n_tokens", "n_known", "base_score", "score", "copies"]
             keys, tkeys, held = (batch.column(i).to_pylist() for i in range(3))
             rows, size = [], 0
-            for key, tkey, h, raw in zip(keys, tkeys, held, K.raw_texts(batch.column(3)), strict=True):
+            raws = (raw for _, _, part in K.raw_slices(batch.column(3)) for raw in part)
+            for key, tkey, h, raw in zip(keys, tkeys, held, raws, strict=True):
                 words = raw.lower().split()
                 at = np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
                 on = at[at >= 0]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kinlode.llm import common
 from kinlode.llm import kernels as K
-from kinlode.llm.tokens import slices, tokenizer
+from kinlode.llm.tokens import tokenizer
 
 CAPACITY = 4096
 END_ID = 1
@@ -212,10 +212,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, task, known = {}, TaskContext.get().partitionId(), tokenizer(tokenizer_path)
         for batch in batches:
-            raws, keys = K.raw_texts(batch.column(1)), batch.column(0).to_pylist()
-            for lo, hi in slices(len(raws), [len(r) for r in raws]):
+            keys = batch.column(0).to_pylist()
+            for lo, hi, raws in K.raw_slices(batch.column(1)):
                 rows = []
-                for key, tokens in zip(keys[lo:hi], known.texts(raws[lo:hi]), strict=True):
+                for key, tokens in zip(keys[lo:hi], known.texts(raws), strict=True):
                     tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
                     for piece, start in enumerate(range(0, len(tokens), capacity)):
                         body = tokens[start : start + capacity].tobytes()

@@ -98,7 +98,7 @@ def text_forms(docs: DataFrame, columns: list[Column], text_col: str = "text") -
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _forms(K.raw_texts(batch.column(batch.num_columns - 1)))
+            x = np.vstack([np.zeros((0, len(FEATURES))), *(_forms(raws) for _, _, raws in K.raw_slices(batch.column(batch.num_columns - 1)))])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), type=pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], "form"])
 

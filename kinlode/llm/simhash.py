@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(raw, shingle) for raw in K.raw_texts(batch.column(1))], dtype=np.uint64)
+            found = np.array([fingerprint(raw, shingle) for _, _, raws in K.raw_slices(batch.column(1)) for raw in raws], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()

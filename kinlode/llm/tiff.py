@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from kinlode.llm import common
 from kinlode.llm import kernels as K
-from kinlode.llm.tokens import slices
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
@@ -381,9 +380,8 @@ def document_media(docs: DataFrame, media: bool = False, id_col: str = "doc_id",
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws = K.raw_texts(batch.column(1))
-            for lo, hi in slices(len(raws), [len(r) for r in raws]):
-                rows = zip(*map(one, raws[lo:hi]), strict=True)
+            for lo, hi, raws in K.raw_slices(batch.column(1)):
+                rows = zip(*map(one, raws), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *map(pa.array, rows)], names=["doc_id", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()

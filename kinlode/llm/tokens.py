@@ -1,16 +1,23 @@
 """Token ids by a public tokenizer, one white-space word at a time through a bounded table of known words."""
 
-from itertools import chain
+import re
+from array import array
+from itertools import chain, repeat
 
 import numpy as np
 
-#: Most words that a worker remembers; words beyond it are tokenised each time they come.
-KNOWN_WORDS = 400_000
+#: Most words, and most parts of words, that a worker remembers; what lies beyond is tokenised each time it comes.
+KNOWN_WORDS, KNOWN_PARTS = 300_000, 250_000
+#: Words that a batch hands to the tokenizer at once.
+AT_ONCE = 4000
+#: How the tokenizer cuts words of these plain letters, digits and marks (other words go to it whole).
+_PLAIN = re.compile("[\x21-\x7e\u00df-\u00f6\u00f8-\u0137\u0139-\u0148]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u0137\u0139-\u0148]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u0137\u0139-\u0148]+")
 
 
 class WordTokenizer:
-    """ids(text) of a tokenizer that drops white space and never joins words across it, as the lower-casing word-end BPE
-    does; for such a tokenizer the ids of a text are those of its words in a row."""
+    """ids of a tokenizer that drops white space, lower-cases, and never joins words, letters, digits and marks, as the
+    word-end BPE does; for such a tokenizer the ids of a text are those of its parts in a row."""
 
     def __init__(self, path: str):
         import os
@@ -21,57 +28,92 @@ class WordTokenizer:
         self.inner = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.inner.get_added_tokens_decoder().values()]
         self.number: dict[bytes, int] = {}
-        self.flat: list[int] = []
-        self.start = [0]
-        self.arrays = None
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.inner.encode_batch(texts, add_special_tokens=False)]
+        self.parts: dict[str, bytes] = {}
+        self.flat, self.size = array("I"), array("q")
+        from tokenizers import pre_tokenizers
+
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        latin = {b: byte_level.pre_tokenize_str(chr(b))[0][0] for b in range(33, 127)}
+        for c in map(chr, range(0x80, 0x180)):  # two bytes each; together they show every byte that plain words have
+            latin.update(zip(c.encode(), byte_level.pre_tokenize_str(c)[0][0], strict=True))
+        self.alphabet = latin
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(texts), AT_ONCE):
+            out.extend(array("I", e.ids).tobytes() for e in self.inner.encode_batch(texts[i : i + AT_ONCE], add_special_tokens=False))
+        return out
+
+    def _part(self, part: str) -> bytes:
+        """One part by the model itself, written in the byte alphabet of the tokenizer."""
+        if not part.isascii():
+            part = "".join([self.alphabet[b] for b in part.encode()])
+        return array("I", [t.id for t in self.inner.model.tokenize(part)]).tobytes()
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as the bytes of 32-bit numbers."""
+        out, odd, parts, more = [b""] * len(words), [], self.parts, {}
+        for i, word in enumerate(words):
+            text = word.decode().lower()
+            if text.isascii() and text.isalpha():
+                cut = (text,)
+            elif _PLAIN.fullmatch(text):
+                cut = _PARTS.findall(text)
+            else:
+                odd.append(i)
+                continue
+            ids = []
+            for x in cut:
+                found = parts.get(x) or more.get(x)
+                if found is None:
+                    found = self._part(x)
+                    if len(parts) < KNOWN_PARTS:
+                        parts[x] = found
+                    else:
+                        more[x] = found
+                ids.append(found)
+            out[i] = ids[0] if len(ids) == 1 else b"".join(ids)
+        for i, ids in zip(odd, self._ids([words[i].decode() for i in odd]), strict=True):
+            out[i] = ids
+        return out
 
     def texts(self, raws: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text, as uint32."""
-        lower = [None if any(s in raw for s in self.special) else raw.lower().split() for raw in raws]
-        new = list({w for words in lower if words for w in words} - self.number.keys())
-        fresh: dict[bytes, np.ndarray] = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, ids in zip(part, self._ids([w.decode() for w in part]), strict=True):
-                if len(self.number) < KNOWN_WORDS and len(word) <= 64:
-                    self.number[word] = len(self.number)
-                    self.flat.extend(ids)
-                    self.start.append(len(self.flat))
-                    self.arrays = None
-                else:
-                    fresh[word] = np.array(ids, dtype=np.uint32)
-        if self.arrays is None:
-            self.arrays = np.array(self.flat, dtype=np.uint32), np.array(self.start, dtype=np.int64)
-        return [self._one(raw, words, fresh) for raw, words in zip(raws, lower, strict=True)]
-
-    def _one(self, raw: bytes, words: list[bytes] | None, fresh: dict[bytes, np.ndarray]) -> np.ndarray:
-        if words is None:
-            return np.array(self._ids([raw.decode()])[0], dtype=np.uint32)
-        if not words:
-            return np.zeros(0, dtype=np.uint32)
-        flat, start = self.arrays
-        at = np.fromiter(map(self.number.get, words, [-1] * len(words)), dtype=np.int64, count=len(words))
+        special = [i for i, raw in enumerate(raws) if any(s in raw for s in self.special)]
+        lower = [raw.lower().split() for raw in raws]
+        for i in special:
+            lower[i] = []
+        number = self.number
+        at = np.fromiter(map(number.get, chain.from_iterable(lower), repeat(-1)), dtype=np.int64)
         missing = np.flatnonzero(at < 0)
-        if not len(missing):
-            return _gather(flat, start, at)
-        parts, done = [], 0
-        for i in missing.tolist():
-            parts.append(_gather(flat, start, at[done:i]))
-            parts.append(fresh[words[i]])
-            done = i + 1
-        parts.append(_gather(flat, start, at[done:]))
-        return np.concatenate(parts)
-
-
-def _gather(flat: np.ndarray, start: np.ndarray, at: np.ndarray) -> np.ndarray:
-    if not len(at):
-        return flat[:0]
-    first, n = start[at], start[at + 1] - start[at]
-    ends = np.cumsum(n)
-    return flat[np.arange(ends[-1]) + np.repeat(first - (ends - n), n)]
+        fresh, size = array("I"), array("q")
+        if len(missing):
+            flat_words = list(chain.from_iterable(lower))
+            names = [flat_words[i] for i in missing.tolist()]
+            del flat_words
+            order = {w: i for i, w in enumerate(dict.fromkeys(names))}
+            base = len(self.size)
+            at[missing] = base + np.fromiter(map(order.get, names), dtype=np.int64, count=len(names))
+            ids = self._words(list(order))
+            for x in ids:
+                fresh.frombytes(x)
+            size.extend(len(x) // 4 for x in ids)
+        flat = np.concatenate([np.frombuffer(self.flat, np.uint32), np.frombuffer(fresh, np.uint32)])
+        sizes = np.concatenate([np.frombuffer(self.size, np.int64), np.frombuffer(size, np.int64)])
+        first = np.cumsum(sizes) - sizes
+        counts = sizes[at]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        tokens = flat[np.arange(total) + np.repeat(first[at] - (ends - counts), counts)]
+        if len(missing) and len(self.number) + len(order) <= KNOWN_WORDS:
+            self.number.update((w, base + i) for w, i in order.items())
+            self.flat.extend(fresh)
+            self.size.extend(size)
+        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, lower)])]
+        out = [tokens[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for i in special:
+            out[i] = np.frombuffer(self._ids([raws[i].decode()])[0], np.uint32)
+        return out
 
 
 _open: dict[str, WordTokenizer] = {}
@@ -82,14 +124,3 @@ def tokenizer(path: str) -> WordTokenizer:
     if path not in _open:
         _open[path] = WordTokenizer(path)
     return _open[path]
-
-
-def slices(n: int, sizes: list[int], limit: int = 4 << 20):
-    """Ranges of rows of about limit bytes."""
-    lo = total = 0
-    for i, size in enumerate(chain(sizes, [limit + 1])):
-        if i == n or (total + size > limit and i > lo):
-            if i > lo:
-                yield lo, i
-            lo, total = i, 0
-        total += size
