@@ -170,8 +170,13 @@ def _digest(words: list[bytes]) -> str:
 
 def _untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [t.split() for t in K.raw_texts(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array([_digest(w) for w in words], pa.string())], names=["doc_id", "tkey", "n_words", "whole_sha256"])
+        n, digests = [], []
+        for _, _, raws in K.raw_slices(batch.column(2)):
+            for raw in raws:
+                words = raw.split()
+                n.append(len(words))
+                digests.append(_digest(words))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "tkey", "n_words", "whole_sha256"])
 
 
 def remove_windows(text: bytes, positions: np.ndarray, window: int) -> tuple[int, list[bytes]]:
@@ -185,23 +190,30 @@ def remove_windows(text: bytes, positions: np.ndarray, window: int) -> tuple[int
 
 
 def _strip(window: int, texts: bool):
+    """Over (tkey, text, starts): starts null means that every window goes."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(2)
+            spans, every = batch.column(2), batch.column(2).is_null().to_pylist()
             bounds, values = spans.offsets.to_numpy(), spans.values.to_numpy(zero_copy_only=False)
-            done = [remove_windows(t, values[bounds[i] : bounds[i + 1]], window) for i, t in enumerate(K.raw_texts(batch.column(1)))]
-            columns = [batch.column(0), pa.array([n for n, _ in done], pa.int64()), pa.array([_digest(w) for _, w in done], pa.string())]
-            names = ["tkey", "n_removed", "left_sha256"]
-            if texts:
-                columns.append(pa.array([b" ".join(w).decode() for _, w in done], pa.string()))
-                names.append("kept_text")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for lo, hi, raws in K.raw_slices(batch.column(1)):
+                removed, digests, kept = [], [], []
+                for i, raw in enumerate(raws, lo):
+                    n, words = remove_windows(raw, np.arange(len(raw.split()) - window + 1) if every[i] else values[bounds[i] : bounds[i + 1]], window)
+                    removed.append(n)
+                    digests.append(_digest(words))
+                    if texts:
+                        kept.append(b" ".join(words).decode())
+                columns = [batch.column(0)[lo:hi], pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * texts, names=["tkey", "n_removed", "left_sha256", "kept_text"][: 3 + texts])
 
     return scan
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(flagged texts, window starts to remove): (tkey, text, fps) and (tkey, starts), both written tables."""
+def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Flagged texts that stand once (tkey, text, fps), flagged copies, and the window starts to remove from the former
+    (tkey, starts); all from written tables. Copies lose every window; only the first of them shows its windows, with double weight, to
+    the other texts, so a large group of copies is not spread out into windows."""
     spark = docs.sparkSession
     keyed = docs.select(common.content_key(id_col, text_col).alias("tkey"), common.whole(text_col).alias("text"))
     prints = common.materialise(fingerprints(docs, window, id_col, text_col), "prints")
@@ -210,25 +222,31 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = 2, id
         index.add(prints.filter(F.pmod("tkey", F.lit(batches)) == b))
     index.compact()
     flags = index.repeated(prints).groupBy("tkey").agg(F.collect_set("fp").alias("fps"))
-    flagged = common.materialise(keyed.join(flags, "tkey"), "flagged")
+    shas = keyed.select("tkey", F.unhex(F.sha2("text", 256)).alias("sha"))
+    copied = shas.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("tkey").alias("head")).filter("copies > 1")
+    copied = shas.join(copied, "sha").select("tkey", (F.col("tkey") == F.col("head")).alias("head")).distinct()
+    flagged = common.materialise(keyed.join(flags.join(copied, "tkey", "left"), "tkey"), "flagged")
     index.close()
     common.drop(prints)
     common.release(spark)
-    windows = candidate_windows(flagged, window)
-    twice = windows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "c")
-    starts = windows.join(twice, ["h", "c"], "left_semi").groupBy("tkey").agg(F.collect_set("pos").alias("starts"))
+    alone, twins = flagged.filter("head is null"), flagged.filter("head is not null")
+    own = candidate_windows(alone, window)
+    windows = own.select("h", "c", F.lit(1).alias("n")).unionAll(candidate_windows(twins.filter("head"), window).select("h", "c", F.lit(2).alias("n")))
+    twice = windows.groupBy("h", "c").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "c")
+    starts = own.join(twice, ["h", "c"], "left_semi").groupBy("tkey").agg(F.collect_set("pos").alias("starts"))
     starts = common.materialise(starts, "starts")
     common.release(spark)
-    return flagged, starts
+    return alone, twins, starts
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = 2, texts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]): what is left of each document when every word covered by a
     window that also starts elsewhere goes. kept_text is null where nothing was removed."""
-    flagged, starts = repeated_windows(docs, window, batches, id_col, text_col)
+    alone, twins, starts = repeated_windows(docs, window, batches, id_col, text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), common.content_key(id_col, text_col).alias("tkey"), common.whole(text_col).alias("text")).mapInArrow(_untouched, f"doc_id {docs.schema[id_col].dataType.simpleString()}, tkey long, n_words long, whole_sha256 string")
     schema = "tkey long, n_removed long, left_sha256 string" + ", kept_text string" * texts
-    left = flagged.dropDuplicates(["tkey"]).join(starts, "tkey").select("tkey", "text", "starts").mapInArrow(_strip(window, texts), schema)
+    hit = alone.join(starts, "tkey").select("tkey", "text", "starts").unionAll(twins.select("tkey", "text", F.lit(None).cast("array<int>")))
+    left = hit.mapInArrow(_strip(window, texts), schema).dropDuplicates(["tkey"])
     out = base.join(left, "tkey", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long")))
     return out.select("doc_id", "n_words", "n_removed", F.coalesce("left_sha256", "whole_sha256").alias("kept_sha256"), *["kept_text"] * texts)
 
