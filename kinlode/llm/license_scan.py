@@ -64,64 +64,64 @@ def template_pairs() -> list[tuple[int, str, bool, int, int, int, str]]:
 
 
 def _templates(spark: SparkSession) -> DataFrame:
-    rows = [F.struct(*(F.lit(v).alias(n) for n, v in zip(("tid", "label", "phrase", "t_words", "t_pairs", "t_pos", "t_pair"), row, strict=True))) for row in template_pairs()]
+    rows = [F.struct(F.lit(row[0]).alias("tid"), F.lit(row[5]).alias("t_pos"), F.lit(row[6]).alias("t_pair")) for row in template_pairs()]
     return spark.range(1).select(F.inline(F.array(*rows))).withColumn("t_hash", F.xxhash64("t_pair"))
 
 
-def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
+def _of_template(values: list) -> Column:
+    return F.get(F.array(*map(F.lit, values)), F.col("tid"))
 
 
-def _spans(votes: DataFrame) -> DataFrame:
-    """Merged diagonals that verify: (doc_id, tkey, label, phrase, start, coverage)."""
-    line = Window.partitionBy("doc_id", "tkey", "tid").orderBy("diagonal")
-    gap = F.col("diagonal") - F.lag("diagonal").over(line)
-    numbered = votes.withColumn("new", F.when(F.col("phrase") | gap.isNull() | (gap > NEAR), 1).otherwise(0))
-    numbered = numbered.withColumn("span", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = numbered.groupBy("doc_id", "tkey", "tid", "span").agg(
-        F.first("label").alias("label"), F.first("phrase").alias("phrase"), F.first("t_words").alias("t_words"), F.first("t_pairs").alias("t_pairs"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("votes"), F.min("from").alias("start"), F.max("to").alias("end"), F.min("diagonal").alias("diagonal"),
-    )
-    coverage = F.col("votes") / F.col("t_pairs")
-    length = F.col("end") - F.col("start") + 2
-    good = F.when(F.col("phrase"), coverage == 1).otherwise((coverage >= COVER) & (length <= F.ceil(F.col("t_words") * LONGEST)))
-    return spans.filter(good).select("doc_id", "tkey", "label", "phrase", F.when(F.col("phrase"), F.col("diagonal")).alias("place"), coverage.alias("coverage"))
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
 
 
-def _votes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    text = common.whole(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), common.content_key(id_col, text_col).alias("tkey"), words_of(text).alias("words"))
+def _votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Votes by diagonal, and for each row of docs one row without a template that carries its words and its count."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), common.content_key(id_col, text_col).alias("tkey"), words_of(common.whole(text_col)).alias("words"))
     pairs = F.transform("words", lambda w, i: F.concat(w, F.lit(" "), F.get(F.col("words"), i + 1)))
     rolled = rows.select("doc_id", "tkey", F.size("words").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), pairs)).alias("pos", "pair"))
     templates = F.broadcast(_templates(docs.sparkSession))
     hits = rolled.join(templates, (F.xxhash64("pair") == F.col("t_hash")) & (F.col("pair") == F.col("t_pair")), "left")
     hits = hits.filter("tid is not null or pos = 0").withColumn("word", F.col("pos") - 1)
-    # one exchange: everything below is grouped within a document
+    # the only exchange of the scan: everything below is grouped within a document
     hits = hits.repartition(common.partitions(docs.sparkSession), "doc_id", "tkey")
-    every = hits.groupBy("doc_id", "tkey").agg(F.max("n_words").cast("long").alias("n_words"), F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("copies"))
-    votes = hits.filter("tid is not null").withColumn("diagonal", F.col("word") - F.col("t_pos")).groupBy("doc_id", "tkey", "tid", "label", "phrase", "t_words", "t_pairs", "diagonal").agg(
-        F.collect_set("t_pos").alias("seen"), F.min("word").alias("from"), F.max("word").alias("to"))
-    return every, votes
+    return hits.withColumn("diagonal", F.col("word") - F.col("t_pos")).groupBy("doc_id", "tkey", "tid", "diagonal").agg(
+        F.max("n_words").alias("n_words"), F.count(F.when(F.col("tid").isNull(), 1)).alias("copies"), F.collect_set("t_pos").alias("seen"), F.min("word").alias("from"), F.max("word").alias("to"))
+
+
+def _spans(votes: DataFrame) -> DataFrame:
+    """Merged diagonals: (doc_id, tkey, tid, label, phrase, place, coverage, good, n_words, copies)."""
+    facts = {row[0]: row[1:5] for row in template_pairs()}
+    label, phrase, t_words, t_pairs = map(list, zip(*(facts[t] for t in sorted(facts)), strict=True))
+    line = Window.partitionBy("doc_id", "tkey", "tid").orderBy("diagonal")
+    gap = F.col("diagonal") - F.lag("diagonal").over(line)
+    numbered = votes.withColumn("new", F.when((F.col("tid") < len(PHRASES)) | gap.isNull() | (gap > NEAR), 1).otherwise(0))
+    numbered = numbered.withColumn("span", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = numbered.groupBy("doc_id", "tkey", "tid", "span").agg(
+        F.max("n_words").alias("n_words"), F.sum("copies").alias("copies"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("votes"), F.min("from").alias("start"), F.max("to").alias("end"), F.min("diagonal").alias("diagonal"))
+    spans = spans.withColumns({"label": _of_template(label), "phrase": _of_template(phrase)})
+    coverage = F.col("votes") / _of_template(t_pairs)
+    length = F.col("end") - F.col("start") + 2
+    good = F.when(F.col("phrase"), coverage == 1).otherwise((coverage >= COVER) & (length <= F.ceil(_of_template(t_words) * LONGEST)))
+    return spans.select("doc_id", "tkey", "tid", "label", "phrase", F.when(F.col("phrase"), F.col("diagonal")).alias("place"), coverage.alias("coverage"), F.coalesce(good, F.lit(False)).alias("good"), "n_words", "copies")
 
 
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, label, phrase, place, coverage): every verified span; place is the first word of a phrase."""
-    return _spans(_votes(docs, id_col, text_col)[1]).drop("tkey")
+    return _spans(_votes(docs, id_col, text_col)).filter("good").select("doc_id", "label", "phrase", "place", "coverage")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row. score is the largest
     share of a template or phrase found."""
-    every, votes = _votes(docs, id_col, text_col)
-    labels = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    found = _spans(votes).groupBy("doc_id", "tkey").agg(
-        F.count("place").alias("n_base"), F.min("place").cast("long").alias("first_word"), F.max("place").cast("long").alias("last_word"),
-        labels(F.when(F.col("phrase"), F.col("label"))).alias("base_labels"), labels("label").alias("labels"), F.max("coverage").alias("score"))
-    out = every.alias("e").join(found.alias("f"), F.col("e.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("e.tkey") == F.col("f.tkey")), "left")
-    return out.select(
-        F.col("e.doc_id"), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"),
-    ).drop("copy")
+    labels = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")
+    place = F.when(F.col("good"), F.col("place"))
+    out = _spans(_votes(docs, id_col, text_col)).groupBy("doc_id", "tkey").agg(
+        F.max("n_words").cast("long").alias("n_words"), F.sum("copies").alias("copies"), F.count(place).alias("n_base"), F.min(place).cast("long").alias("first_word"), F.max(place).cast("long").alias("last_word"),
+        labels(F.col("good") & F.col("phrase")).alias("base_labels"), labels(F.col("good")).alias("labels"), F.coalesce(F.max(F.when(F.col("good"), F.col("coverage"))), F.lit(0.0)).alias("score"))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("tkey", "copies", "copy")
 
 
 def scan_sql(window_gap: int = NEAR) -> str:
