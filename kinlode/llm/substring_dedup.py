@@ -224,6 +224,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = 2, id
     flags = index.repeated(prints).groupBy("tkey").agg(F.collect_set("fp").alias("fps"))
     shas = keyed.select("tkey", F.unhex(F.sha2("text", 256)).alias("sha"))
     copied = shas.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("tkey").alias("head")).filter("copies > 1")
+    copied = common.materialise(copied, "copied")
     copied = shas.join(copied, "sha").select("tkey", (F.col("tkey") == F.col("head")).alias("head")).distinct()
     flagged = common.materialise(keyed.join(flags.join(copied, "tkey", "left"), "tkey"), "flagged")
     index.close()
@@ -233,8 +234,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = 2, id
     own = candidate_windows(alone, window)
     windows = own.select("h", "c", F.lit(1).alias("n")).unionAll(candidate_windows(twins.filter("head"), window).select("h", "c", F.lit(2).alias("n")))
     twice = windows.groupBy("h", "c").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "c")
+    twice = common.materialise(twice, "twice")  # a table of its own, so that a window that very many texts share can be split in the join
     starts = own.join(twice, ["h", "c"], "left_semi").groupBy("tkey").agg(F.collect_set("pos").alias("starts"))
     starts = common.materialise(starts, "starts")
+    common.drop(twice)
     common.release(spark)
     return alone, twins, starts
 
