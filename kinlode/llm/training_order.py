@@ -81,7 +81,8 @@ def training_order(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, s
     cut = common.materialise(sequences(docs, tokenizer_path, length, end_id), "sequences")
     per_task = cut.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    first = per_task.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))  # a row for each input split
+    first = per_task.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    first = common.materialise(first, "offsets")  # a row for each input split: of known size, so the sequences are not shuffled to join it
     total = cut.count()
     stride = 4 + 2 * length
 
