@@ -54,5 +54,9 @@ def key_tokens(records: DataFrame) -> DataFrame:
 
 def explode_tokens(records: DataFrame, types: tuple[str, ...] = TYPES) -> DataFrame:
     """(row_id, source, country, ttype, token), one row for each token of a record."""
-    each = F.flatten(F.array(*[F.transform(t, lambda x, t=t: F.struct(F.lit(t).alias("ttype"), x.alias("token"))) for t in types]))
+
+    def typed(kind: str) -> Column:
+        return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("ttype"), x.alias("token")))
+
+    each = F.flatten(F.array(*map(typed, types)))
     return records.select("row_id", "source", "country", F.explode(each).alias("_t")).select("row_id", "source", "country", "_t.ttype", "_t.token").distinct()
