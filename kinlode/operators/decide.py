@@ -29,18 +29,31 @@ def exclusive(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_n", F.row_number().over(Window.partitionBy("r").orderBy(F.desc("p"), "q"))).filter("_n = 1").drop("_n")
 
 
+def prefix_order():
+    """A query's pairs up to the current one, in order of p."""
+    return Window.partitionBy("q").orderBy(F.desc("p"), "r").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def prefix_sums(pairs: DataFrame) -> DataFrame:
+    """Adds k (place in the query's order), run and total (sums of p), none (the chance that nothing matches)."""
+    q = Window.partitionBy("q")
+    none = F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-12)))).over(q))
+    return pairs.withColumns({"k": F.row_number().over(q.orderBy(F.desc("p"), "r")), "run": F.sum("p").over(prefix_order()), "total": F.sum("p").over(q), "none": none})
+
+
+def expected_f(floor):
+    """Expected F0.5 of the prefix that ends here, rounded so that equal values tie; -1 below the floor."""
+    return F.when(F.col("p") < floor, -1.0).otherwise(F.round(1.25 * F.col("run") / (0.25 * F.col("total") + F.col("k")), 12))
+
+
 def by_expected_f(pairs: DataFrame, floor: float, boost: float) -> DataFrame:
     """Of each query's pairs, in order of p, the smallest prefix of the best expected F0.5, if that exceeds the chance that
     nothing matches. Pairs below the floor end a prefix but count in the expected number of matches."""
     q = Window.partitionBy("q")
-    line = q.orderBy(F.desc("p"), "r")
-    running = F.sum("p").over(line.rowsBetween(Window.unboundedPreceding, 0))
-    none = F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-12)))).over(q)) * boost
-    out = pairs.withColumns({"_k": F.row_number().over(line), "_sum": running, "_all": F.sum("p").over(q), "_none": none})
-    out = out.withColumn("_ef", F.when(F.col("p") < floor, -1.0).otherwise(F.round(1.25 * F.col("_sum") / (0.25 * F.col("_all") + F.col("_k")), 12)))
-    out = out.withColumn("_best", F.max("_ef").over(q))
-    out = out.withColumn("_size", F.min(F.when((F.col("_ef") == F.col("_best")) & (F.col("_ef") > F.col("_none")), F.col("_k"))).over(q))
-    return out.filter("_k <= _size").drop("_k", "_sum", "_all", "_none", "_ef", "_best", "_size")
+    out = prefix_sums(pairs).withColumn("ef", expected_f(F.lit(floor)))
+    out = out.withColumn("best", F.max("ef").over(q))
+    out = out.withColumn("size", F.min(F.when((F.col("ef") == F.col("best")) & (F.col("ef") > F.col("none") * boost), F.col("k"))).over(q))
+    return out.filter("k <= size").drop("k", "run", "total", "none", "ef", "best", "size")
 
 
 def decide(pairs: DataFrame, params: DecisionParams) -> DataFrame:

@@ -4,7 +4,7 @@ candidates count."""
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinlode.operators.decide import DecisionParams, by_expected_f, exclusive, grid
+from kinlode.operators.decide import DecisionParams, exclusive, expected_f, grid, prefix_order, prefix_sums
 
 
 def f05(n_true: Column, n_pred: Column, tp: Column) -> Column:
@@ -49,31 +49,34 @@ def blocking_report(queries: DataFrame, candidates: DataFrame, truth: DataFrame)
     return c.agg(F.try_divide(F.sum("tp"), F.sum("n_true")).alias("pair_recall"), F.try_divide(full, F.count_if(F.col("n_true") > 0)).alias("entity_full_recall"), (F.sum("n_pred") / F.count(F.lit(1))).alias("pairs_per_s1"), F.sum("n_pred").alias("total_pairs"), F.avg("oracle").alias("oracle_f05"))
 
 
+def _prefix_counts(single: DataFrame, settings: list[tuple]) -> DataFrame:
+    """(setting, q, n_pred, tp) of expected-F settings (setting, floor, boost) over exclusive pairs with t. Order and running
+    sums do not depend on the setting, so one window serves all; the best prefix of each is the largest (value, -size)."""
+    ranked = prefix_sums(single).withColumn("hits", F.sum("t").over(prefix_order()))
+    each = ranked.withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(f)).alias("floor"), F.lit(float(b)).alias("boost")) for i, f, b in settings])))
+    value = F.struct(expected_f(F.col("s.floor")).alias("ef"), (-F.col("k")).alias("k"), F.col("hits"), (F.col("none") * F.col("s.boost")).alias("none"))
+    best = each.groupBy(F.col("s.i").alias("setting"), "q").agg(F.max(value).alias("best")).filter("best.ef > best.none")
+    return best.select("setting", "q", (-F.col("best.k")).cast("long").alias("n_pred"), F.col("best.hits").alias("tp"))
+
+
 def tuning_grid(queries: DataFrame, scored: DataFrame, truth: DataFrame) -> DataFrame:
-    """(setting, exclusive, method, threshold, boost, macro_f05) of all 82 settings. The thresholds of each exclusivity are one
-    aggregation: a pair counts for every threshold up to its p."""
+    """(setting, exclusive, method, threshold, boost, macro_f05) of all 82 settings, in one aggregation for each kind: a pair
+    counts for every threshold up to its p, and each expected-F setting picks a prefix of one ranking."""
     spark = queries.sparkSession
     truth = truth.select("q", "r").distinct()
-    named = queries.select("q").distinct()
-    n_true = named.join(truth.groupBy("q").agg(F.count(F.lit(1)).alias("n_true")), "q", "left").fillna(0, ["n_true"])
+    n_true = queries.select("q").distinct().join(truth.groupBy("q").agg(F.count(F.lit(1)).alias("n_true")), "q", "left").fillna(0, ["n_true"])
     settings = [(i, p.exclusive, p.method, float(p.threshold), float(p.singleton_boost)) for i, p in enumerate(grid())]
-    table = spark.createDataFrame(settings, "setting int, exclusive boolean, method string, threshold double, boost double")
-    kept = []
-    for e, base in ((False, scored), (True, exclusive(scored))):
-        limits = F.array(*[F.struct(F.lit(s[0]).alias("setting"), F.lit(s[3]).alias("t")) for s in settings if s[1] == e and s[2] == "threshold"])
+    labelled = scored.select("q", "r", "p").join(truth.withColumn("t", F.lit(1)), ["q", "r"], "left").fillna(0, ["t"])
+    single = exclusive(labelled)
+    counts = _prefix_counts(single, [(i, floor, boost) for i, _, method, floor, boost in settings if method == "expected_f"])
+    for e, base in ((False, labelled), (True, single)):
+        limits = F.array(*[F.struct(F.lit(s[0]).alias("i"), F.lit(s[3]).alias("t")) for s in settings if s[1] == e and s[2] == "threshold"])
         each = base.withColumn("s", F.explode(F.filter(limits, lambda x: F.col("p") >= x["t"])))
-        kept.append(each.select(F.col("s.setting").alias("setting"), "q", "r"))
-    single = exclusive(scored)
-    for i, p in enumerate(grid()):
-        if p.method == "expected_f":
-            kept.append(by_expected_f(single, p.threshold, p.singleton_boost).select(F.lit(i).alias("setting"), "q", "r"))
-    pred = kept[0]
-    for x in kept[1:]:
-        pred = pred.unionByName(x)
-    counts = pred.join(truth.withColumn("t", F.lit(1)), ["q", "r"], "left").groupBy("setting", "q").agg(F.count(F.lit(1)).alias("n_pred"), F.count("t").alias("tp"))
-    scored_q = counts.join(n_true, "q").withColumn("f", f05(F.col("n_true"), F.col("n_pred"), F.col("tp")) - (F.col("n_true") == 0).cast("double"))
+        counts = counts.unionByName(each.groupBy(F.col("s.i").alias("setting"), "q").agg(F.count(F.lit(1)).alias("n_pred"), F.sum("t").alias("tp")))
+    value = f05(F.col("n_true"), F.col("n_pred"), F.col("tp")) - (F.col("n_true") == 0).cast("double")
+    sums = counts.join(n_true, "q").groupBy("setting").agg(F.sum(value).alias("f"))  # queries without predictions score 1 if alone, else 0
     n, alone = n_true.agg(F.count(F.lit(1)), F.count_if(F.col("n_true") == 0)).first()
-    sums = scored_q.groupBy("setting").agg(F.sum("f").alias("f"))  # queries without predictions score 1 if alone, else 0
+    table = spark.createDataFrame(settings, "setting int, exclusive boolean, method string, threshold double, boost double")
     return table.join(sums, "setting", "left").select("setting", "exclusive", "method", "threshold", "boost", ((F.coalesce("f", F.lit(0.0)) + alone) / max(n, 1)).alias("macro_f05"))
 
 
