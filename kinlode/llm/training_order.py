@@ -102,7 +102,8 @@ def training_order(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, s
     kind = cut.schema["doc_id"].dataType.simpleString()
     placed = cut.join(first, "task").mapInArrow(place, f"slot long, shard long, doc_id {kind}, piece long, n_tokens long, ids binary")
     n = common.partitions(docs.sparkSession)
-    ordered = placed.repartition(n, "shard").sortWithinPartitions("slot")
+    # shards go round the partitions in turn, which no hash of a few shards would do as evenly
+    ordered = placed.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int")).sortWithinPartitions("slot")
     out = ordered.mapInArrow(records, f"slot long, shard long, doc_id {kind}, piece long, n_tokens long, ids_crc32 long, record binary")
     return out.withColumn("byte_offset", F.pmod("slot", F.lit(shard_records)) * stride)
 
