@@ -6,17 +6,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit for each letter of a."""
-    if not a or not b:
-        return 0
+def places(a: str) -> dict[str, int]:
+    """For each letter of a, the bits of its places."""
     at: dict[str, int] = {}
     for i, ch in enumerate(a):
         at[ch] = at.get(ch, 0) | 1 << i
+    return at
+
+
+def common_length(a: str, b: str, at: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, a bit for each letter of a."""
+    at = places(a) if at is None else at
     full = row = (1 << len(a)) - 1
     for ch in b:
-        hit = row & at.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
+        if hit := row & at.get(ch, 0):
+            row = ((row + hit) | (row - hit)) & full
     return len(a) - row.bit_count()
 
 
@@ -52,7 +56,14 @@ def partial(a: str, b: str) -> float:
     n = len(a)
     if a in b:
         return 100.0
-    return max(ratio(a, b[max(0, i) : i + n]) for i in range(1 - n, len(b)))
+    at, best, most = places(a), 0.0, common_length(a, b)
+    for i in range(1 - n, len(b)):
+        window = b[max(0, i) : i + n]
+        # a window is at best as good as all that a and b have in common; one whose outer letter is strange has a better neighbour
+        outer = window[0] if i + n > len(b) else window[-1]
+        if outer in at and 200.0 * min(most, len(window)) / (n + len(window)) > best:
+            best = max(best, 200.0 * common_length(a, window, at) / (n + len(window)))
+    return best
 
 
 def jaro_winkler(a: str, b: str) -> float:
