@@ -1 +1 @@
-
+"""Matching operators over candidate pairs."""

@@ -100,3 +100,10 @@ def error_samples(found: DataFrame, each: int = 25, seed: int = 2026) -> DataFra
 
     order = Window.partitionBy("kind").orderBy(F.xxhash64("q", "r", F.lit(seed)), "q", "r")
     return found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= each).drop("_n")
+
+
+def error_traits(found: DataFrame, traits: DataFrame) -> DataFrame:
+    """(kind, n, and the share of each boolean trait) of errors (q, r, kind); traits: (q, r, trait...). Unknown traits do not count."""
+    names = [c for c in traits.columns if c not in ("q", "r")]
+    shares = [F.avg(F.col(c).cast("int")).alias(c) for c in names]
+    return found.join(traits, ["q", "r"], "left").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), *shares)

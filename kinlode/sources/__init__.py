@@ -1 +1 @@
-
+"""Strict readers, result lists and their checks."""

@@ -228,3 +228,12 @@ def test_folds_keep_queries_together(spark):
     q = spark.range(300).select(F.col("id").alias("q"))
     n = collections.Counter(r.f for r in q.select(model.bucket(F.col("q"), 3).alias("f")).collect())
     assert set(n) == {0, 1, 2} and min(n.values()) > 60 and 80 < model.sample_queries(q, 0.4).count() < 160
+
+
+def test_error_samples_and_traits(spark):
+    found = spark.createDataFrame([(i, i, "fn_matcher" if i % 2 else "fp_other") for i in range(80)], "q long, r long, kind string")
+    first, again = ([tuple(r) for r in evaluate.error_samples(found, 5).orderBy("q").collect()] for _ in range(2))
+    assert first == again and len(first) == 10
+    traits = spark.createDataFrame([(i, i, i < 40) for i in range(60)], "q long, r long, early boolean")
+    got = {r.kind: (r.n, round(r.early, 4)) for r in evaluate.error_traits(found, traits).collect()}
+    assert got == {"fn_matcher": (40, 0.6667), "fp_other": (40, 0.6667)}
