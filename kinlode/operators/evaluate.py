@@ -1,6 +1,8 @@
 """Exact macro F0.5 and its parts. An entity without matches scores 1 if nothing is predicted, else 0; queries without
 candidates count."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,20 +61,24 @@ def _prefix_counts(single: DataFrame, settings: list[tuple]) -> DataFrame:
     return best.select("setting", "q", (-F.col("best.k")).cast("long").alias("n_pred"), F.col("best.hits").alias("tp"))
 
 
-def tuning_grid(queries: DataFrame, scored: DataFrame, truth: DataFrame) -> DataFrame:
-    """(setting, exclusive, method, threshold, boost, macro_f05) of all 82 settings, in one aggregation for each kind: a pair
+def tuning_grid(queries: DataFrame, scored: DataFrame, truth: DataFrame, tried: list[DecisionParams] | None = None) -> DataFrame:
+    """(setting, exclusive, method, threshold, boost, macro_f05) of the settings tried (by default all 82; those by expected
+    F0.5 are exclusive), in one aggregation for each kind: a pair
     counts for every threshold up to its p, and each expected-F setting picks a prefix of one ranking."""
     spark = queries.sparkSession
     truth = truth.select("q", "r").distinct()
     n_true = queries.select("q").distinct().join(truth.groupBy("q").agg(F.count(F.lit(1)).alias("n_true")), "q", "left").fillna(0, ["n_true"])
-    settings = [(i, p.exclusive, p.method, float(p.threshold), float(p.singleton_boost)) for i, p in enumerate(grid())]
+    settings = [(i, p.exclusive, p.method, float(p.threshold), float(p.singleton_boost)) for i, p in enumerate(tried or grid())]
     labelled = scored.select("q", "r", "p").join(truth.withColumn("t", F.lit(1)), ["q", "r"], "left").fillna(0, ["t"])
     single = exclusive(labelled)
-    counts = _prefix_counts(single, [(i, floor, boost) for i, _, method, floor, boost in settings if method == "expected_f"])
+    parts = []
+    if prefixes := [(i, floor, boost) for i, _, method, floor, boost in settings if method == "expected_f"]:
+        parts.append(_prefix_counts(single, prefixes))
     for e, base in ((False, labelled), (True, single)):
-        limits = F.array(*[F.struct(F.lit(s[0]).alias("i"), F.lit(s[3]).alias("t")) for s in settings if s[1] == e and s[2] == "threshold"])
-        each = base.withColumn("s", F.explode(F.filter(limits, lambda x: F.col("p") >= x["t"])))
-        counts = counts.unionByName(each.groupBy(F.col("s.i").alias("setting"), "q").agg(F.count(F.lit(1)).alias("n_pred"), F.sum("t").alias("tp")))
+        if limits := [F.struct(F.lit(s[0]).alias("i"), F.lit(s[3]).alias("t")) for s in settings if s[1] == e and s[2] == "threshold"]:
+            each = base.withColumn("s", F.explode(F.filter(F.array(*limits), lambda x: F.col("p") >= x["t"])))
+            parts.append(each.groupBy(F.col("s.i").alias("setting"), "q").agg(F.count(F.lit(1)).alias("n_pred"), F.sum("t").alias("tp")))
+    counts = reduce(DataFrame.unionByName, parts)
     value = f05(F.col("n_true"), F.col("n_pred"), F.col("tp")) - (F.col("n_true") == 0).cast("double")
     sums = counts.join(n_true, "q").groupBy("setting").agg(F.sum(value).alias("f"))  # queries without predictions score 1 if alone, else 0
     n, alone = n_true.agg(F.count(F.lit(1)), F.count_if(F.col("n_true") == 0)).first()

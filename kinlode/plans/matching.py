@@ -1,18 +1,21 @@
 """The matcher from records to result files: normalise, tokenise, block, describe, score in two stages, decide, evaluate."""
 
 import json
-import uuid
-from dataclasses import dataclass, field
+import time
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlode.functions import addresses, names, tokens
+from kinlode.functions import addresses, conventions, names, script, similarity, tokens
 from kinlode.operators import blocking, evaluate, features, graph_features, model
 from kinlode.operators.decide import DecisionParams, decide
+from kinlode.plans.stages import Stages, fingerprint, input_state
 from kinlode.sources import tsv
 
+TEXT_RULES = (addresses, conventions, names, script, tokens, tsv)
+
 
 @dataclass
 class Settings:
@@ -23,13 +26,6 @@ class Settings:
     rounds: int = 100
 
 
-def stored(df: DataFrame, settings: Settings, name: str) -> DataFrame:
-    """A stage's table, written once and read by the stages after it."""
-    path = f"{settings.work_dir}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def normalize(records: DataFrame) -> DataFrame:
     """Source-1 names are taken as they are and give the vocabulary by which names of the other sources are split."""
     ones = names.normalize_names(records.filter("source = 1"))
@@ -38,8 +34,8 @@ def normalize(records: DataFrame) -> DataFrame:
     return addresses.normalize_addresses(ones.unionByName(others))
 
 
-def prepare(records: DataFrame, settings: Settings) -> DataFrame:
-    return stored(tokens.with_tokens(normalize(records)), settings, "records")
+def prepare(records: DataFrame, stages: Stages) -> DataFrame:
+    return stages.table("records", lambda: tokens.with_tokens(normalize(records)), "source", TEXT_RULES)
 
 
 def second_stage(base: DataFrame, scored: DataFrame, records: DataFrame) -> DataFrame:
@@ -52,26 +48,28 @@ def second_stage(base: DataFrame, scored: DataFrame, records: DataFrame) -> Data
     return base.join(more, ["q", "r"]).join(near, ["q", "r"], "left")
 
 
-def candidates(records: DataFrame, settings: Settings, sample: DataFrame | None = None) -> DataFrame:
-    return stored(blocking.block(records, settings.params, sample), settings, "candidates")
+def candidates(records: DataFrame, settings: Settings, stages: Stages) -> DataFrame:
+    return stages.table("candidates", lambda: blocking.block(records, settings.params), "records", (blocking,), params=asdict(settings.params))
 
 
-def describe(pairs: DataFrame, records: DataFrame, settings: Settings) -> DataFrame:
-    return stored(features.pair_features(pairs, records), settings, "features")
+def describe(pairs: DataFrame, records: DataFrame, stages: Stages) -> DataFrame:
+    return stages.table("features", lambda: features.pair_features(pairs, records), "candidates", (features, similarity))
 
 
-def train(records: DataFrame, truth: DataFrame, settings: Settings) -> dict:
-    """Both stages, their tuned decisions and the reports. truth: (q, r). Models and settings are saved in work_dir."""
-    table = prepare(records, settings)
+def train(records: DataFrame, truth: DataFrame, settings: Settings, source: str | None = None) -> dict:
+    """Both stages, their tuned decisions and the reports. truth: (q, r). Models and settings are saved in work_dir. `source`
+    is a fingerprint of records and truth; with it, the tables of an earlier run are used again."""
+    stages = Stages(records.sparkSession, settings.work_dir, source)
+    table = prepare(records, stages)
     queries = table.filter("source = 1").select(F.col("row_id").alias("q"), F.col("country").alias("grp"))
-    pairs = candidates(table, settings)
-    base = blocking.with_labels(describe(pairs, table, settings), truth)
+    pairs = candidates(table, settings, stages)
+    base = blocking.with_labels(describe(pairs, table, stages), truth)
     report = {"blocking": evaluate.blocking_report(queries, pairs, truth).first().asDict()}
     boosted = {"folds": settings.folds, "share": settings.share, "rounds": settings.rounds}
     scored = {"rules": features.with_rule_score(base).select("q", "r", "p")}
-    scored["stage1"] = stored(model.cross_fit(base, **boosted), settings, "stage1")
-    second = stored(second_stage(base, scored["stage1"], table), settings, "second")
-    scored["stage2"] = stored(model.cross_fit(second, **boosted), settings, "stage2")
+    scored["stage1"] = stages.table("stage1", lambda: model.cross_fit(base, **boosted), "features", (model,), **boosted)
+    second = stages.table("second", lambda: second_stage(base, scored["stage1"], table), "stage1", (graph_features, similarity))
+    scored["stage2"] = stages.table("stage2", lambda: model.cross_fit(second, **boosted), "second", (model,), **boosted)
     for name, p in scored.items():
         best = evaluate.best_setting(evaluate.tuning_grid(queries, p, truth))
         kept = decide(p, best)
@@ -79,51 +77,73 @@ def train(records: DataFrame, truth: DataFrame, settings: Settings) -> dict:
     for name, data in (("stage1", base), ("stage2", second)):
         model.final_fit(data, **boosted).write().overwrite().save(f"{settings.work_dir}/model-{name}")
     DecisionParams(**report["stage2"]["decision"]).save(f"{settings.work_dir}/decision.json")
+    report["made"] = stages.made
     with open(f"{settings.work_dir}/report.json", "w") as file:
         json.dump(report, file, indent=1, default=str)
     return report
 
 
-def score(records: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+def score(records: DataFrame, settings: Settings, source: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records, candidates, matches) of unlabelled records by saved models."""
-    table = prepare(records, settings)
-    pairs = candidates(table, settings)
-    base = describe(pairs, table, settings)
-    p1 = stored(model.predict(PipelineModel.load(f"{settings.work_dir}/model-stage1"), base), settings, "stage1")
-    second = stored(second_stage(base, p1, table), settings, "second")
-    p2 = model.predict(PipelineModel.load(f"{settings.work_dir}/model-stage2"), second)
+    spark, saved = records.sparkSession, [f"{settings.work_dir}/model-stage{i}" for i in (1, 2)]
+    stages = Stages(spark, settings.work_dir, source)
+    table = prepare(records, stages)
+    pairs = candidates(table, settings, stages)
+    base = describe(pairs, table, stages)
+    p1 = stages.table("stage1", lambda: model.predict(PipelineModel.load(saved[0]), base), "features", (model,), model=input_state(spark, saved[0]))
+    second = stages.table("second", lambda: second_stage(base, p1, table), "stage1", (graph_features, similarity))
+    p2 = stages.table("stage2", lambda: model.predict(PipelineModel.load(saved[1]), second), "second", (model,), model=input_state(spark, saved[1]))
     return table, pairs, decide(p2, DecisionParams.load(f"{settings.work_dir}/decision.json"))
 
 
+def _files(data_dir: str, split: str) -> list[str]:
+    return [f"{data_dir}/{split}_source{i}.tsv" for i in (1, 2, 3)]
+
+
 def run_train(spark: SparkSession, data_dir: str, settings: Settings) -> dict:
+    answers = f"{data_dir}/train_ground_truth.tsv"
     records = tsv.read_split(spark, data_dir, "train")
-    return train(records, tsv.truth_pairs(tsv.read_truth(spark, f"{data_dir}/train_ground_truth.tsv"), records), settings)
+    source = fingerprint(files=input_state(spark, *_files(data_dir, "train"), answers))
+    return train(records, tsv.truth_pairs(tsv.read_truth(spark, answers), records), settings, source)
 
 
 def run_test(spark: SparkSession, data_dir: str, settings: Settings, output_dir: str) -> None:
-    table, pairs, matches = score(tsv.read_split(spark, data_dir, "test"), settings)
-    matches = stored(matches.select("q", "r"), settings, "matches")
+    source = fingerprint(files=input_state(spark, *_files(data_dir, "test")))
+    table, pairs, matches = score(tsv.read_split(spark, data_dir, "test"), settings, source)
     tsv.write_lists(tsv.id_lists(table, pairs.select("q", "r"), "candidate_entity_ids"), f"{output_dir}/candidate_pairs")
-    tsv.write_lists(tsv.id_lists(table, matches, "matched_entity_ids"), f"{output_dir}/matching_results")
+    tsv.write_lists(tsv.id_lists(table, matches.select("q", "r"), "matched_entity_ids"), f"{output_dir}/matching_results")
 
 
 def blocking_experiments(records: DataFrame, truth: DataFrame, settings: Settings, grid: list[blocking.BlockingParams], share: float = 0.1) -> list[dict]:
-    """Blocking reports of a sample of queries against all records, one for each setting."""
-    table = prepare(records, settings)
-    queries = model.sample_queries(table.filter("source = 1").select(F.col("row_id").alias("q")), share)
+    """Blocking reports of a sample of queries against all records, one for each setting, for all and for each country."""
+    stages = Stages(records.sparkSession, settings.work_dir)
+    table = prepare(records, stages)
+    queries = model.sample_queries(table.filter("source = 1").select(F.col("row_id").alias("q"), F.col("country").alias("grp")), share)
     known = truth.join(queries, "q", "left_semi")
     out = []
-    for params in grid:
-        pairs = blocking.block(table, params, queries.select(F.col("q").alias("row_id")))
-        out.append({"params": params} | evaluate.blocking_report(queries, pairs, known).first().asDict())
+    for i, params in enumerate(grid):
+        began = time.time()
+        pairs = stages.table(f"grid{i}", lambda params=params: blocking.block(table, params, queries.select(F.col("q").alias("row_id"))), "records", (blocking,), params=asdict(params), share=share)
+        report = evaluate.blocking_report(queries, pairs, known).first().asDict()
+        out.append({"params": params, "seconds": round(time.time() - began, 1)} | report)
     return out
 
 
-def feature_experiments(base: DataFrame, queries: DataFrame, truth: DataFrame, subsets: dict[str, list[str]], **settings) -> dict[str, float]:
-    """Macro F0.5 of cross-fitted models of feature subsets, each with its best decision."""
-    out = {}
-    for name, columns in subsets.items():
-        p = model.cross_fit(base.select("q", "r", "y", *columns), **settings)
-        best = evaluate.best_setting(evaluate.tuning_grid(queries, p, truth))
-        out[name] = evaluate.macro_f05(queries, decide(p, best), truth).first()["macro_f05"]
-    return out
+def held_out_experiment(features: DataFrame, queries: DataFrame, truth: DataFrame, columns: list[str] | None = None, fold: int = 0, folds: int = model.FOLDS, share: float = 0.15, tried: list[DecisionParams] | None = None, **settings) -> dict:
+    """One model of a sample of the other folds' queries, and its best decision and macro F0.5 on all queries of `fold`.
+    features: (q, r, y, ...), whose second-stage columns must come from cross-fitted probabilities."""
+    kept = features.select("q", "r", "y", *(columns or model.feature_columns(features)))
+    away = model.bucket(F.col("q"), folds) != fold
+    fitted = model.fit(model.sample_queries(kept.filter(away), share), **settings)
+    p = model.predict(fitted, kept.filter(~away)).persist()
+    ours, known = queries.filter(~away), truth.filter(~away)
+    try:
+        best = evaluate.best_setting(evaluate.tuning_grid(ours, p, known, tried))
+        return {"decision": best} | evaluate.macro_f05(ours, decide(p, best), known).first().asDict()
+    finally:
+        p.unpersist()
+
+
+def feature_experiments(base: DataFrame, queries: DataFrame, truth: DataFrame, subsets: dict[str, list[str]], **settings) -> dict[str, dict]:
+    """The held-out result of each subset of the columns; all subsets have the same folds and sample."""
+    return {name: held_out_experiment(base, queries, truth, columns, **settings) for name, columns in subsets.items()}

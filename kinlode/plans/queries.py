@@ -343,7 +343,8 @@ def oracle_sql() -> dict[str, str]:
         "s1_sample": _chain("ents") + f"SELECT q FROM ents WHERE {_fold(10000, model.SEED + 1)} < 4000",
         "matching_results": _chain("kept", "rec") + _lists("matched_entity_ids", "kept"),
         "candidate_pairs": _chain("cands", "rec") + _lists("candidate_entity_ids", "cands"),
-        "output_check": "SELECT unnest(['repeated_s1', 'repeated_match', 'wrong_kind']) AS problem, 0::BIGINT AS n",
+        "output_check": _chain("kept", "rec") + f", l AS ({_lists('matched_entity_ids', 'kept')}), i AS (SELECT list_filter(string_split(matched_entity_ids, ','), lambda x: x <> '') AS ids FROM l) " + """SELECT 'repeated_s1' AS problem, (SELECT count(*) FROM (SELECT 1 FROM l GROUP BY source1_entity_id HAVING count(*) > 1)) AS n
+      UNION ALL SELECT 'repeated_match', (SELECT count(*) FROM i WHERE len(ids) <> len(list_distinct(ids))) UNION ALL SELECT 'wrong_kind', (SELECT count(*) FROM i WHERE len(list_filter(ids, lambda x: NOT regexp_matches(x, '^S[23]-'))) > 0)""",
     }
     settings = ", ".join(f"({i}, {str(p.exclusive).lower()}, '{p.method}', {p.threshold}, {p.singleton_boost})" for i, p in enumerate(decide.grid()))
     expected = " UNION ALL ".join(f"SELECT {i} AS setting, q, r FROM ({_expected(p.threshold, p.singleton_boost)})" for i, p in enumerate(decide.grid()) if p.method == "expected_f")

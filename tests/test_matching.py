@@ -1,16 +1,19 @@
 """Matching operators against goldens and brute force."""
 
 import collections
+import hashlib
 import math
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from kinlode.functions import similarity, tokens
 from kinlode.operators import blocking, decide, evaluate, features, graph_features, model
-from kinlode.plans import matching
-from kinlode.sources import tsv
+from kinlode.operators.decide import DecisionParams
+from kinlode.plans import matching, stages
+from kinlode.sources import package, tsv
 
 PAIRS = "q long, r long, p double"
 RECORDS = [
@@ -222,6 +225,58 @@ def test_train_and_test(spark, tmp_path):
     matching.run_test(spark, str(tmp_path), settings, str(tmp_path / "out"))
     lists = spark.read.csv(str(tmp_path / "out" / "matching_results"), sep="\t", header=True)
     assert lists.count() == 60 and all(r.n == 0 for r in tsv.check_lists(lists, "matched_entity_ids").collect())
+    sums = package.pack_results(spark, str(tmp_path / "out"), str(tmp_path / "results.zip"))
+    with zipfile.ZipFile(tmp_path / "results.zip") as z:
+        body = z.read("matching_results.tsv")
+        assert body.count(b"\n") == 61 and body.count(b"source1_entity_id") == 1 and hashlib.sha256(body).hexdigest() == sums["matching_results.tsv"]
+        assert z.read("MANIFEST.sha256").decode().splitlines()[0] == f"{sums['candidate_pairs.tsv']}  candidate_pairs.tsv"
+    files = [str(tmp_path / f"train_source{i}.tsv") for i in (1, 2, 3)] + [str(tmp_path / "train_ground_truth.tsv")]
+    again = stages.Stages(spark, settings.work_dir, stages.fingerprint(files=stages.input_state(spark, *files)))
+    table = matching.prepare(tsv.read_split(spark, str(tmp_path), "train"), again)
+    matching.describe(matching.candidates(table, settings, again), table, again)
+    assert report["made"] == ["records", "candidates", "features", "stage1", "second", "stage2"] and again.made == []
+
+
+def test_stages(spark, tmp_path):
+    def run(source, step, code=()):
+        s = stages.Stages(spark, str(tmp_path), source)
+        a = s.table("a", lambda: spark.range(3), "source", ())
+        s.table("b", lambda: a.select((F.col("id") * step).alias("x")), "a", code, step=step)
+        return s.made
+
+    assert run("one", 2) == ["a", "b"] and run("one", 2) == [] and run("one", 3) == ["b"]
+    assert run("one", 3, (model,)) == ["b"] and run("two", 3) == ["a", "b"] and run(None, 3) == ["a", "b"]
+    broken = stages.Stages(spark, str(tmp_path), "three")
+    path = tmp_path / f"a-{stages.fingerprint(name='a', after='three', code={}, settings={})}"
+    path.mkdir()
+    (path / "part-0.parquet").write_text("half")
+    assert broken.table("a", lambda: spark.range(3), "source", ()).count() == 3 and broken.made == ["a"]
+
+
+def test_packing_fails_on_wrong_lists(spark, tmp_path):
+    for name, column, ids in (("candidate_pairs", "candidate_entity_ids", "S2-1,S2-1"), ("matching_results", "matched_entity_ids", "")):
+        (tmp_path / name).mkdir()
+        write(tmp_path / name / "part-0.csv", [("source1_entity_id", column), ("S1-1", ids)])
+    with pytest.raises(ValueError, match="repeated_match"):
+        package.check_results(spark, str(tmp_path))
+    write(tmp_path / "candidate_pairs" / "part-0.csv", [("source1_entity_id", "candidate_entity_ids"), ("S1-2", "S2-1")])
+    with pytest.raises(ValueError, match="different S1 ids"):
+        package.check_results(spark, str(tmp_path))
+
+
+def test_held_out_experiments(spark):
+    rows = spark.range(240).select((F.col("id") / 2).cast("long").alias("q"), F.col("id").alias("r"), (F.col("id") % 2 == 0).alias("y"), (F.col("id") % 2).alias("tells"), (F.col("id") % 7).alias("noise"))
+    truth, queries = rows.filter("y").select("q", "r"), rows.select("q").distinct()
+    out = matching.feature_experiments(rows, queries, truth, {"good": ["tells"], "bad": ["noise"]}, share=1.0, rounds=2, least=1)
+    assert out["good"]["macro_f05"] == 1 > out["bad"]["macro_f05"]
+    assert out["good"]["n"] == queries.filter(model.bucket(F.col("q"), 3) == 0).count()
+
+
+def test_tuning_of_given_settings(spark):
+    q, t = spark.createDataFrame([(1,), (2,)], "q long"), spark.createDataFrame([(1, 5)], "q long, r long")
+    p = spark.createDataFrame([(1, 5, 0.9), (2, 5, 0.6)], "q long, r long, p double")
+    for tried, want in (([DecisionParams(False, "threshold", 0.5)], 0.5), ([DecisionParams(True, "threshold", 0.5)], 1.0), ([DecisionParams(True, "expected_f", 0.02, 1.0)], 1.0)):
+        assert [r.macro_f05 for r in evaluate.tuning_grid(q, p, t, tried).collect()] == [want]
 
 
 def test_folds_keep_queries_together(spark):
