@@ -4,8 +4,11 @@ read_pages() walks the chain of image directories, decodes strips or tiles store
 undoes predictors and yields a page for each directory. write_pages() is its inverse. tiff_pages() gives a row for each
 page of a binary column, document_media() stores texts as images and reads them back.
 
-Defined results: a null, empty or broken file gives one row with page null and the error; pages before the broken one
-are kept. A null text is an empty payload of 64 zero bytes. Rows that repeat an id come out one by one. Empty tables
+Texts are stored in four ways, by their content: deflated, LZW or PackBits strips and deflated tiles, so that every
+decoder is on the way back. Samples of 1, 2, 4, 8, 16, 32 and 64 bits are read, interleaved or in separate planes.
+
+Defined results: a null, empty or broken file gives one row with page null and the error. A page that cannot be decoded
+gives a row with its number and the error, and the walk goes on to the next directory. A null text is an empty payload of 64 zero bytes. Rows that repeat an id come out one by one. Empty tables
 give empty results. Other columns are ignored.
 """
 
@@ -25,7 +28,7 @@ from kinlode.llm import kernels as K
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
-WIDTH, PAGE_ROWS, STRIP_ROWS = 64, 4096, 1024
+WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 64, 4096, 1024, (64, 32)
 _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "s", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 
 
@@ -63,27 +66,24 @@ def pack_bits(data: bytes) -> bytes:
         return b""
     a = np.frombuffer(data, np.uint8)
     edge = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-    out, plain = bytearray(), bytearray()
+    size = np.diff(np.append(edge, len(a)))
+    out, done = bytearray(), 0
 
-    def end() -> None:
-        for i in range(0, len(plain), 128):
-            part = plain[i : i + 128]
+    def plain(end: int) -> None:
+        for i in range(done, end, 128):
+            part = data[i : min(end, i + 128)]
             out.append(len(part) - 1)
             out.extend(part)
-        plain.clear()
 
-    for at, n in zip(edge.tolist(), np.diff(np.append(edge, len(a))).tolist(), strict=True):
-        if n < 3:
-            plain.extend(data[at : at + n])
-            continue
-        end()
+    for at, n in zip(edge[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        plain(at)
+        done = at + n
         while n > 1:
             k = min(n, 128)
             out += bytes((257 - k, data[at]))
             n -= k
-        if n:
-            plain.append(data[at])
-    end()
+        done -= n  # one left over goes with what follows
+    plain(len(data))
     return bytes(out)
 
 
@@ -249,41 +249,61 @@ class _Reader:
             raise TiffError("a page has no size")
         bits, samples, compression, predictor = one(258, 1), one(277, 1), one(259, 1), one(317, 1)
         sort = {1: "u", 2: "i", 3: "f"}.get(one(339, 1))
-        if bits not in (8, 16, 32, 64) or sort is None or len(set(tags.get(258, (bits,)))) > 1 or predictor not in (1, 2, 3):
+        small = bits in (1, 2, 4) and sort == "u" and predictor == 1
+        if not small and bits not in (8, 16, 32, 64) or sort is None or len(set(tags.get(258, (bits,)))) > 1 or predictor not in (1, 2, 3):
             raise TiffError(f"{bits} bits of kind {one(339, 1)} with predictor {predictor} are not supported")
-        if one(284, 1) != 1 and samples > 1:
-            raise TiffError("separate planes are not supported")
+        planes = samples if one(284, 1) == 2 else 1
+        samples //= planes
         tiled = 322 in tags
         bw, bh = (one(322), one(323)) if tiled else (width, min(one(278, height), height))
         if not bw or not bh:
             raise TiffError("a page has empty blocks")
         offsets, sizes = tags.get(324 if tiled else 273, ()), tags.get(325 if tiled else 279, ())
         across, down = -(-width // bw), -(-height // bh)
-        if len(offsets) != across * down or len(sizes) != len(offsets):
+        if len(offsets) != planes * across * down or len(sizes) != len(offsets):
             raise TiffError("a page's blocks do not cover it")
-        kind = np.dtype(f"{self.order if predictor != 3 else '='}{sort}{bits // 8}")
-        if width * height * samples * kind.itemsize > 1 << 31:
+        kind = np.dtype(f"{self.order if predictor != 3 else '='}{sort}{max(8, bits) // 8}")
+        if width * height * samples * planes * kind.itemsize > 1 << 31:
             raise TiffError("a page is larger than 2 GB")
-        out = np.empty((height, width, samples), dtype=kind.newbyteorder("="))
+        out = np.empty((height, width, samples * planes), dtype=kind.newbyteorder("="))
         for i, (at, size) in enumerate(zip(offsets, sizes, strict=True)):
+            plane, i = divmod(i, across * down)
             y, x = i // across * bh, i % across * bw
             rows = bh if tiled else min(bh, height - y)
             if at + size > len(self.data):
                 raise TiffError("a block lies outside the file")
-            raw = _decode(self.data[at : at + size], compression, rows * bw * samples * kind.itemsize)
-            block = np.frombuffer(raw, kind).reshape(rows, bw, samples)
-            block = _undo(block.astype(kind.newbyteorder("=")) if predictor == 2 else block, predictor, self.order)
-            out[y : y + bh, x : x + bw] = block[: height - y, : width - x]
+            line = -(-bw * samples * bits // 8)
+            raw = _decode(self.data[at : at + size], compression, rows * line)
+            if small:
+                block = unpack_samples(raw, rows, line, bits)[:, : bw * samples].reshape(rows, bw, samples)
+            else:
+                block = np.frombuffer(raw, kind).reshape(rows, bw, samples)
+                block = _undo(block.astype(kind.newbyteorder("=")) if predictor == 2 else block, predictor, self.order)
+            out[y : y + bh, x : x + bw, plane * samples : (plane + 1) * samples] = block[: height - y, : width - x]
         return Page(out, compression, predictor, tiled)
 
 
-def read_pages(data: bytes) -> Iterator[Page]:
+def unpack_samples(raw: bytes, rows: int, line: int, bits: int) -> np.ndarray:
+    """Samples of 1, 2 or 4 bits, high bits first; each row begins at a byte."""
+    each = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(rows, line * 8 // bits, bits)
+    return (each << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
+
+
+def walk_pages(data: bytes) -> Iterator[Page | TiffError]:
+    """A page for each directory, or what is wrong with it; raises where the chain of directories itself is broken."""
     reader = _Reader(data)
     for tags in reader.directories():
         try:
             yield reader.page(tags)
-        except zlib.error as e:
-            raise TiffError(str(e)) from e
+        except (TiffError, zlib.error, MemoryError, ValueError, TypeError) as e:
+            yield e if isinstance(e, TiffError) else TiffError(str(e))
+
+
+def read_pages(data: bytes) -> Iterator[Page]:
+    for page in walk_pages(data):
+        if isinstance(page, TiffError):
+            raise page
+        yield page
 
 
 def write_pages(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, tile: tuple[int, int] | None = None, strip_rows: int = STRIP_ROWS, level: int = 1, order: str = "<") -> bytes:
@@ -331,7 +351,10 @@ def tiff_pages(media: DataFrame, id_col: str = "media_id", content_col: str = "c
 
     def pages(data: bytes | None) -> Iterator[tuple]:
         try:
-            for i, p in enumerate(read_pages(data or b"")):
+            for i, p in enumerate(walk_pages(data or b"")):
+                if isinstance(p, TiffError):
+                    yield i, *[None] * 8, str(p)
+                    continue
                 h, w, s = p.samples.shape
                 yield i, w, h, s, p.samples.dtype.itemsize * 8, NAMES[p.compression], p.predictor, p.tiled, p.samples.astype(p.samples.dtype.newbyteorder("<")).tobytes(), None
         except (TiffError, struct.error, MemoryError) as e:
@@ -352,10 +375,21 @@ def payload_of(raw: bytes) -> bytes:
     return raw + b"\0" * (-len(raw) % WIDTH or (0 if raw else WIDTH))
 
 
+def way_of(payload: bytes) -> dict:
+    """How a payload is stored: one in sixteen as LZW, one in eight as PackBits, one in eight in tiles, the rest as deflated
+    strips; pages are so small that LZW, byte by byte in Python, is no burden on any of them."""
+    share = zlib.crc32(payload) >> 28
+    if share == 0:
+        return {"compression": LZW, "predictor": 2}
+    if share in (1, 2):
+        return {"compression": PACKBITS}
+    return {"compression": DEFLATE, "predictor": 2, "tile": TILE if share in (3, 4) else None}
+
+
 def store(payload: bytes) -> bytes:
-    """The payload as 8-bit rows of WIDTH samples, on pages of PAGE_ROWS rows, deflated after horizontal differencing."""
+    """The payload as 8-bit rows of WIDTH samples, on pages of PAGE_ROWS rows."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    return write_pages([rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)], DEFLATE, predictor=2)
+    return write_pages([rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)], **way_of(payload))
 
 
 def feature(pages: int, samples: np.ndarray) -> str:
