@@ -1,15 +1,18 @@
 """SimHash near-dedup by bit-sliced comparison.
 
 Fingerprints are compared only where they agree on two of six bit blocks: four differing bits touch at most four
-blocks, so every pair within the radius meets in one of the fifteen tables at least. A bucket larger than a tile is cut
+blocks, so every pair within the radius meets in one of the fifteen tables at least; larger tables of fingerprints take
+seven or eight blocks, so that a bucket's key has more bits. A bucket larger than a tile is cut
 into chunks and every pair of chunks is a tile of its own, so no bucket, however large, is one task's work. In a tile
 the fingerprints lie as bit planes; carry-save counters add up the differing planes of 64 comparisons a machine word,
 and words whose comparisons have all passed the radius are abandoned. A tile returns a forest of its links, not the
 pairs, and the components follow from star contraction.
 
 Defined results: a null or empty text has fingerprint zero, which is linked like any other. Rows with the same id and
-text have one fingerprint and come out one by one. A null id links its row by its fingerprint but is never the smallest
-id; a component of null ids only has a null component. Empty tables give empty results. Other columns are ignored.
+text have one fingerprint and come out one by one. A null id links its row by its fingerprint like any other but is never
+the smallest id; a component of null ids only has a null component. Empty tables give empty results. Other columns are
+ignored by near_duplicates() and carried by keep_one(), where of each component the row of the smallest id stays (null
+ids last, then by content); rows that repeat an id and a text stay or go together.
 """
 
 from collections.abc import Iterator
@@ -26,7 +29,8 @@ from kinlode.llm import kernels as K
 from kinlode.llm.graph import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Bits that are cut into blocks, and up to how many fingerprints by so many blocks (above: by one more than the last).
+BITS, MOST = 64, {6: 1 << 28, 7: 1 << 33}
 #: Fingerprints that a chunk of a bucket holds; a tile holds two chunks.
 TILE = 1024
 #: Comparisons that are made at once.
@@ -52,16 +56,22 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def blocks_for(n: int) -> list[int]:
+    """Widths of the blocks for n fingerprints."""
+    count = next((k for k, most in MOST.items() if n <= most), max(MOST) + 1)
+    return [BITS // count + (i < BITS % count) for i in range(count)]
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
+    """(doc_id, tkey, fp): the row's key by content, and fp as a signed long."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(raw, shingle) for _, _, raws in K.raw_slices(batch.column(1)) for raw in raws], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(raw, shingle) for _, _, raws in K.raw_slices(batch.column(2)) for raw in raws], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "tkey", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), common.whole(text_col)).mapInArrow(scan, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col), common.content_key(id_col, text_col), common.whole(text_col)).mapInArrow(scan, f"doc_id {kind}, tkey long, fp long")
 
 
 class Counter:
@@ -237,12 +247,12 @@ def _link(radius: int):
 def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(a, b) ids that connect all distinct fingerprints (fp, id) within the radius."""
     blocks, at = [], 0
-    for width in BLOCKS:
+    for width in blocks_for(prints.count()):
         blocks.append((at, width))
         at += width
-    together = len(BLOCKS) - radius
+    together = len(blocks) - radius
     if together < 1:
-        raise ValueError(f"a radius below {len(BLOCKS)} is supported")
+        raise ValueError(f"a radius below {len(blocks)} is supported")
     keys = []
     for t, chosen in enumerate(combinations(blocks, together)):
         key = F.lit(t).cast("long")
@@ -259,18 +269,27 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_link(radius), "a long, b long").distinct()
 
 
+def _grouped(docs: DataFrame, shingle: int, radius: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Written rows (doc_id, tkey, fp), and (fp, component) of the fingerprints that have a link; a component is named by
+    one of its fingerprints, so rows without an id are linked like others."""
+    rows = common.materialise(fingerprints(docs, shingle, id_col, text_col), "simhash")
+    nodes = common.materialise(rows.select("fp", F.col("fp").alias("id")).distinct(), "simhash-nodes")
+    return rows, components(links(nodes, radius)).withColumnRenamed("id", "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row; component_id is the smallest doc_id reachable."""
-    rows = common.materialise(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    named = nodes.filter("id is not null")
-    groups = components(links(named, radius))
-    owner = nodes.join(groups, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    rows, groups = _grouped(docs, shingle, radius, id_col, text_col)
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("id")).join(groups, "fp", "left")
+    least = nodes.filter("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
+    owner = nodes.join(least, "component", "left").select("fp", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return rows.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, all columns, one document of each component: that of the smallest id."""
-    found = near_duplicates(docs, shingle, radius)
-    stays = found.filter("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, one document of each component."""
+    rows, groups = _grouped(docs, shingle, radius, id_col, text_col)
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tkey"))
+    group = F.coalesce("component", "fp")
+    stays = rows.join(groups, "fp", "left").groupBy(group.alias("component")).agg(best.alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.tkey").alias("_tkey"))
+    return docs.join(stays, docs[id_col].eqNullSafe(stays["_id"]) & (common.content_key(id_col, text_col) == stays["_tkey"]), "left_semi")
