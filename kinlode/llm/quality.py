@@ -11,8 +11,9 @@ written down before they are joined, so Spark broadcasts them only where their s
 
 Defined results: a null or empty text has the form of no words. A null host or path part is a site of its own. Labels
 that disagree count as bad; labels of unknown documents are ignored. Without labels of both kinds every document has
-probability one half, and is kept. Rows that repeat an id come out one by one. Empty tables give empty results. Columns
-of the input may have any names; filter_quality() returns them unchanged.
+probability one half, and is kept. Rows that repeat an id come out one by one, each judged by its own text and site: a
+rejected row goes even if an accepted one has the same id or both have none. Empty tables give empty results. Columns of
+the input may have any names; filter_quality() returns them unchanged.
 """
 
 from collections.abc import Iterator
@@ -141,9 +142,9 @@ class SiteQuality:
         return [part(self.host).alias("host"), F.concat_ws("/", *(part(c) for c in (self.host, *self.path))).alias("path")]
 
     def fit(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> "SiteQuality":
-        forms = common.materialise(text_forms(docs, [F.col(id_col).alias("doc_id"), *self.sites()], text_col), "forms")
+        forms = common.materialise(text_forms(docs, [F.col(id_col).alias("doc_id"), common.content_key(id_col, text_col).alias("tkey"), *self.sites()], text_col), "forms")
         marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        rows = forms.join(marks, "doc_id", "left").select("doc_id", "host", "path", "quality", "form")
+        rows = forms.join(marks, "doc_id", "left").select("doc_id", "tkey", "host", "path", "quality", "form")
         sample = rows.filter("quality is not null").orderBy(F.xxhash64("doc_id")).limit(self.fit_rows).select("quality", "form").toArrow()
         x = np.array(sample.column("form").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
         self.model = LogisticModel().fit(x, sample.column("quality").to_numpy().astype(float))
@@ -182,5 +183,6 @@ def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """The accepted rows with the columns of docs. The text is not shuffled where the site table can be broadcast."""
     model = SiteQuality(**sites).fit(docs, labels, id_col, text_col)
     decided = model.score(model.rows, F.col("path"), F.col("p"), F.coalesce(F.col("quality").cast("double"), F.col("p")))
-    good = decided.filter(F.col("score") >= threshold).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(good, docs[id_col].eqNullSafe(good["_id"]), "left_semi")
+    good = decided.filter(F.col("score") >= threshold).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), F.col("path").alias("_path")).distinct()
+    _, path = model.sites()
+    return docs.join(good, docs[id_col].eqNullSafe(good["_id"]) & (common.content_key(id_col, text_col) == good["_tkey"]) & (path == good["_path"]), "left_semi")
