@@ -82,11 +82,13 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 
 
 def mix_sql(seed: int = SEED, temperature: float = TEMPERATURE) -> str:
-    """Counts and means of replicate() in DuckDB SQL over a table `documents`, for means of at most PART."""
+    """The rows of documents with rate and repeats, as replicate() has them, in DuckDB SQL, for means of at most PART. Rows
+    are told apart by a number, so ids may repeat or be null; a null source is a source."""
     return f"""
 WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 r AS (SELECT source, (SELECT sum(n) FROM s) * n ** {temperature} / (SELECT sum(n ** {temperature}) FROM s) / n AS rate FROM s),
-c AS (SELECT source, rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM r, (SELECT unnest(range(0, 400))::DOUBLE AS k)),
-u AS (SELECT d.*, (('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':0'), 1, 13))::BIGINT + 0.5) / {1 << _BITS}::DOUBLE AS u FROM documents d),
-k AS (SELECT u.doc_id, u.source, any_value(u.lang) AS lang, any_value(u.text) AS text, any_value(u.n_chars) AS n_chars, count(*) AS repeats, any_value(c.rate) AS rate FROM u JOIN c ON u.source = c.source AND c.cdf < u.u GROUP BY u.doc_id, u.source)
+c AS (SELECT source, rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM r, (SELECT unnest(range(0, 900))::DOUBLE AS k)),
+u AS (SELECT *, row_number() OVER () AS rid, (('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':0'), 1, 13))::BIGINT + 0.5) / {1 << _BITS}::DOUBLE AS u FROM documents),
+m AS (SELECT u.rid, count(*) AS repeats, any_value(c.rate) AS rate FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cdf < u.u GROUP BY u.rid),
+k AS (SELECT u.doc_id, u.source, u.lang, u.text, u.n_chars, m.repeats, m.rate FROM u JOIN m USING (rid))
 """
