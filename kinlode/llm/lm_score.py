@@ -10,12 +10,12 @@ are broadcast; the others are joined by a shuffle, so the vocabulary is never he
 
 Defined results: a null or empty text is the end token alone. The split takes a null id as an empty text. Rows that
 repeat an id and a text count as often as they stand there and come out one by one with equal scores. Without any
-training document every base probability is 1 and the pieces keep their first weights. An empty table gives an empty
-result. Other columns are ignored.
+training document every base probability is 1 and the pieces keep their first weights. A text without white space is one
+word, whatever its length. An empty table gives an empty result. Other columns are ignored.
 """
 
 import math
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -30,6 +30,8 @@ from kinlode.llm import kernels as K
 #: Most words that are broadcast, and entries after which a task hands on its word counts.
 HOT_WORDS, FLUSH = 200_000, 300_000
 _HASH = 0x9FB21C651E98DF25
+#: Words of so many bytes are worked off one by one, so many places at a time.
+BLOCK = 2048
 LN10 = math.log(10)
 
 
@@ -104,11 +106,52 @@ class Lattice:
             uses += np.bincount(e[row, at], weights=share, minlength=len(uses))
         return total, uses
 
+    def _long_edges(self, raw: np.ndarray, a: int, b: int) -> list[list[tuple[int, int]]]:
+        """(length, piece) of the pieces that end at each place from a + 1 to b."""
+        lo = max(0, a - self.longest)
+        out: list[list[tuple[int, int]]] = [[] for _ in range(b - a)]
+        for l, e in enumerate(self._edges(raw[None, lo:b]), 1):  # noqa: E741
+            for start in np.flatnonzero(e[0] >= 0).tolist():
+                if lo + start + l > a:
+                    out[lo + start + l - a - 1].append((l, int(e[0][start])))
+        return out
+
+    def long(self, word: bytes, count: float | None = None) -> tuple[float, np.ndarray | None]:
+        """run() for one word of any length: edges are made BLOCK places at a time, and only the scores of the last places
+        (with a count: of all places) are kept."""
+        raw = np.frombuffer(b" " + word, np.uint8)
+        size, weight = len(raw), self.log_p.tolist()
+        recent, every = deque([0.0], maxlen=self.longest), [] if count is None else [0.0]
+        for a in range(0, size, BLOCK):
+            for ends in self._long_edges(raw, a, min(size, a + BLOCK)):
+                now = _log_add([recent[-l] + weight[piece] for l, piece in ends])
+                recent.append(now)
+                if count is not None:
+                    every.append(now)
+        total = recent[-1]
+        if count is None:
+            return total, None
+        uses = np.zeros(len(self.pieces))
+        later = [-math.inf] * size + [0.0]  # from each place to the end
+        for a in range((size - 1) // BLOCK * BLOCK, -1, -BLOCK):
+            b = min(size, a + BLOCK)
+            for j, ends in zip(range(b, a, -1), reversed(self._long_edges(raw, a, b)), strict=True):
+                after = later[j]
+                for l, piece in ends:
+                    i, step = j - l, weight[piece] + after
+                    later[i] = _log_add([later[i], step])
+                    uses[piece] += count * math.exp(min(0.0, every[i] + step - total)) if every[i] + step > -math.inf else 0.0
+        return total, uses
+
     def all(self, words: list[bytes], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """As run(), for words of any lengths."""
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         out, uses = np.zeros(len(words)), None if counts is None else np.zeros(len(self.pieces))
-        for s in np.unique(size).tolist():
+        for r in np.flatnonzero(size >= BLOCK).tolist():
+            out[r], more = self.long(words[r], None if counts is None else float(counts[r]))
+            if more is not None:
+                uses += more
+        for s in np.unique(size[size < BLOCK]).tolist():
             rows = np.flatnonzero(size == s)
             step = max(1, 40_000 // (s + 1))
             for i in range(0, len(rows), step):
@@ -120,6 +163,11 @@ class Lattice:
         return out, uses
 
 
+def _log_add(terms: list[float]) -> float:
+    top = max(terms, default=-math.inf)
+    return top if top == -math.inf or len(terms) == 1 else top + math.log(math.fsum([math.exp(x - top) for x in terms]))
+
+
 def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
     x = np.stack(terms)
     top = x.max(axis=0)
