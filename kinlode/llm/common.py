@@ -17,9 +17,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset and the
+    session has no other machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _fallback.setdefault(spark.sparkContext.applicationId, "")
         if not base:
             base = _fallback[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="kinlode-")
