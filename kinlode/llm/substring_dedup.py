@@ -2,9 +2,11 @@
 
 Every window of `window` consecutive words is represented by its smallest word n-gram hash (a minimiser), so equal
 windows share a fingerprint and only about one word position in thirteen yields an index entry. The index is a list of
-immutable runs, each a table bucketed and sorted by fingerprint. A batch is merge-joined with the runs (the runs are
-not shuffled again), the windows that a known fingerprint stands for are verified by 96 bits of independent hashes of
-all their words, and runs are compacted into one.
+immutable runs, each a table bucketed and sorted by fingerprint. A batch becomes a run and is merge-joined with the runs
+of history (none is shuffled again), which gives the fingerprints that now stand twice; runs are compacted by levels, so
+that an entry is rewritten as often as the index doubles. Fingerprints that very many positions have are few: they are
+broadcast, and only the others are joined by a shuffle. The windows that a repeated fingerprint stands for are verified
+by 96 bits of independent hashes of all their words.
 
 Defined results: a null text has no words. A text shorter than the window loses nothing. Rows that repeat an id and a
 text count as copies of each other, so all their windows repeat, and each row comes out. Rows with a null id are
@@ -23,6 +25,8 @@ from kinlode.llm import common
 from kinlode.llm import kernels as K
 
 WINDOW = 35
+#: A fingerprint is hot if it has more than one in HOT of all positions; so fewer than HOT of a run's are.
+HOT = 10_000
 _WORD, _GRAM = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _CHECKS = ((0xD6E8FEB86659FD93, 0xA0761D6478BD642F), (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
@@ -91,49 +95,57 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, n); n counts the positions at which a fingerprint stands."""
+    """Sorted immutable runs of (fp, n), largest first; n counts the positions at which a fingerprint stands."""
 
     def __init__(self, spark: SparkSession, label: str = "fingerprints"):
         self.spark, self.label, self.buckets = spark, label, common.partitions(spark)
-        self.runs: list[tuple[str, str]] = []
+        self.runs: list[tuple[str, str, int, int]] = []
 
-    def _write(self, rows: DataFrame) -> tuple[str, str]:
+    def _write(self, rows: DataFrame) -> tuple[str, str, int, int]:
+        """(name, path, fingerprints, positions) of a new run."""
         path = common.scratch_path(self.spark, self.label)
         name = "run_" + path.rsplit("-", 1)[1]
         rows.sortWithinPartitions("fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).saveAsTable(name)
-        return name, path
+        return name, path, *self.spark.table(name).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
 
     def add(self, prints: DataFrame) -> None:
         """Append a batch as a run of its own."""
         counted = prints.groupBy("fp").agg(F.sum("n").alias("n"))
         self.runs.append(self._write(counted.repartition(self.buckets, "fp")))
 
-    def known(self, prints: DataFrame) -> DataFrame:
-        """The rows of a batch, itself not in the index, whose fingerprint some run has: a merge join with each run."""
-        hits = None
-        for name, _ in self.runs:
-            found = prints.join(self.spark.table(name).select("fp"), "fp", "left_semi")
-            hits = found if hits is None else hits.unionByName(found)
-        return hits
-
-    def repeated(self, prints: DataFrame) -> DataFrame:
-        """The rows, all of them in the index, whose fingerprint stands at two positions or more. Call compact() first."""
-        (name, _) = self.runs[0] if len(self.runs) == 1 else (None, None)
-        if name is None:
-            raise ValueError("compact() the index first")
-        return prints.join(self.spark.table(name).filter("n > 1").select("fp"), "fp", "left_semi")
+    def ingest(self, prints: DataFrame) -> DataFrame:
+        """Append a batch; returns a table (fp, hot) of its fingerprints that now stand at two positions or more, in the batch
+        or in history: a merge join of the batch's run with each run before it."""
+        self.add(prints)
+        name, _, _, positions = self.runs[-1]
+        new = self.spark.table(name)
+        found = new.filter("n > 1")
+        for old, *_ in self.runs[:-1]:
+            found = found.unionAll(new.join(self.spark.table(old).select("fp"), "fp", "left_semi"))
+        found = common.materialise(found.select("fp", (F.col("n") * HOT > positions).alias("hot")).distinct(), "repeated")
+        self.level()
+        return found
+
+    def level(self) -> None:
+        """Merge the last runs as long as the last is at least half as large as the one before."""
+        while len(self.runs) > 1 and 2 * self.runs[-1][2] >= self.runs[-2][2]:
+            self._merge()
 
     def compact(self) -> None:
-        """Merge all runs into one: a full outer merge join, bucket by bucket. The old runs go once the new one is written."""
+        """Merge all runs into one."""
         while len(self.runs) > 1:
-            old = self.runs[-2:]
-            a, b = (self.spark.table(name).select("fp", F.col("n").alias(f"n{i}")) for i, (name, _) in enumerate(old))
-            both = a.join(b, "fp", "full_outer").select("fp", (F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))).alias("n"))
-            self.runs[-2:] = [self._write(both)]
-            self._drop(old)
-
-    def _drop(self, runs: list[tuple[str, str]]) -> None:
-        for name, path in runs:
+            self._merge()
+
+    def _merge(self) -> None:
+        """The last two runs become one: a full outer merge join, bucket by bucket. The old ones go once it is written."""
+        old = self.runs[-2:]
+        a, b = (self.spark.table(name).select("fp", F.col("n").alias(f"n{i}")) for i, (name, *_) in enumerate(old))
+        both = a.join(b, "fp", "full_outer").select("fp", (F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))).alias("n"))
+        self.runs[-2:] = [self._write(both)]
+        self._drop(old)
+
+    def _drop(self, runs: list[tuple]) -> None:
+        for name, path, *_ in runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             common.delete(self.spark, path)
 
@@ -142,6 +154,18 @@ class FingerprintIndex:
         self.runs = []
 
 
+def having(prints: DataFrame, repeated: list[DataFrame]) -> DataFrame:
+    """The rows of prints whose fingerprint is in a table of repeated ones. The hot ones, fewer than HOT of each table, are
+    broadcast; the rest have at most one in HOT of the positions each, and are joined by an exchange of both sides."""
+    tables = repeated[0]
+    for table in repeated[1:]:
+        tables = tables.unionAll(table)
+    hot, rest = tables.filter("hot").select("fp").distinct(), tables.filter("not hot").select("fp")
+    marked = prints.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "fp", "left")
+    cold = marked.filter("hot is null").drop("hot").join(rest, "fp", "left_semi")
+    return marked.filter("hot").drop("hot").unionByName(cold)
+
+
 def candidate_windows(flagged: DataFrame, window: int) -> DataFrame:
     """(h, c, tkey, pos): each window of the flagged texts whose fingerprint is among `fps`, with 96 bits of its words."""
 
@@ -218,17 +242,16 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = 2, id
     keyed = docs.select(common.content_key(id_col, text_col).alias("tkey"), common.whole(text_col).alias("text"))
     prints = common.materialise(fingerprints(docs, window, id_col, text_col), "prints")
     index = FingerprintIndex(spark)
-    for b in range(batches):
-        index.add(prints.filter(F.pmod("tkey", F.lit(batches)) == b))
-    index.compact()
-    flags = index.repeated(prints).groupBy("tkey").agg(F.collect_set("fp").alias("fps"))
+    repeated = [index.ingest(prints.filter(F.pmod("tkey", F.lit(batches)) == b)) for b in range(batches)]
+    flags = having(prints, repeated).groupBy("tkey").agg(F.collect_set("fp").alias("fps"))
     shas = keyed.select("tkey", F.unhex(F.sha2("text", 256)).alias("sha"))
     copied = shas.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("tkey").alias("head")).filter("copies > 1")
     copied = common.materialise(copied, "copied")
     copied = shas.join(copied, "sha").select("tkey", (F.col("tkey") == F.col("head")).alias("head")).distinct()
     flagged = common.materialise(keyed.join(flags.join(copied, "tkey", "left"), "tkey"), "flagged")
     index.close()
-    common.drop(prints)
+    for table in (prints, *repeated):
+        common.drop(table)
     common.release(spark)
     alone, twins = flagged.filter("head is null"), flagged.filter("head is not null")
     own = candidate_windows(alone, window)
@@ -261,25 +284,22 @@ class IncrementalDedup:
     Earlier batches are not changed by later ones.
     """
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, most_runs: int = 4):
-        self.spark, self.window, self.most_runs = spark, window, most_runs
+    def __init__(self, spark: SparkSession, window: int = WINDOW):
+        self.spark, self.window = spark, window
         self.index, self.history = FingerprintIndex(spark), []
 
     def ingest(self, docs: DataFrame) -> DataFrame:
         keyed = common.materialise(docs.select(common.content_key().alias("tkey"), common.whole().alias("text")), "history")
         prints = common.materialise(fingerprints(docs, self.window), "prints")
-        own = prints.join(prints.groupBy("fp").agg(F.sum("n").alias("n")).filter("n > 1").select("fp"), "fp", "left_semi")
-        hits = own if not self.index.runs else own.unionByName(self.index.known(prints).select(own.columns))
-        new = keyed.join(hits.groupBy("tkey").agg(F.collect_set("fp").alias("fps")), "tkey")
+        repeated = self.index.ingest(prints)
+        new = keyed.join(having(prints, [repeated]).groupBy("tkey").agg(F.collect_set("fp").alias("fps")), "tkey")
         windows = candidate_windows(new, self.window).withColumn("new", F.lit(True))
         for texts, old_prints in self.history:
-            shared = old_prints.join(prints.select("fp"), "fp", "left_semi").groupBy("tkey").agg(F.collect_set("fp").alias("fps"))
+            shared = having(old_prints, [repeated]).groupBy("tkey").agg(F.collect_set("fp").alias("fps"))
             windows = windows.unionByName(candidate_windows(texts.join(shared, "tkey"), self.window).withColumn("new", F.lit(False)))
         twice = windows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h", "c")
         starts = windows.filter("new").join(twice, ["h", "c"], "left_semi").groupBy("tkey").agg(F.collect_set("pos").alias("starts"))
         starts = common.materialise(starts, "starts")
-        self.index.add(prints)
-        if len(self.index.runs) > self.most_runs:
-            self.index.compact()
+        common.drop(repeated)
         self.history.append((keyed, prints))
         return starts
