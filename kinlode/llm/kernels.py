@@ -21,7 +21,7 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column, "").cast(pa.binary()).to_pylist()
 
 
-def raw_slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+def raw_slices(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, end row, UTF-8 of the texts), about limit bytes at a time."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     lo, n = 0, len(column)
