@@ -8,7 +8,8 @@ import pytest
 import corpus_pipeline
 from kinlode.llm import mixing, quality, queries
 from kinlode.llm.common import read_table
-from tests.llm.test_operators import brute_fingerprint, brute_ids
+from tests.llm.test_near_dedup import brute_kept
+from tests.llm.test_operators import brute_ids
 
 
 def test_stages():
@@ -23,14 +24,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     owner = {}
     for key, r in rows.items():
         owner[r.text] = max(key, owner.get(r.text, key))
-    keys = sorted(owner.values())
-    fps = [brute_fingerprint(rows[k].text) for k in keys]
-    label = list(range(len(keys)))
-    for i in range(len(keys)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 4:
-                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
-    keys = [keys[i] for i in range(len(keys)) if label[i] == i]
+    keys = sorted(brute_kept([(k, rows[k].text) for k in sorted(owner.values())])[0])
     n = collections.Counter(rows[k].source for k in keys)
     total = sum(math.sqrt(x) for x in n.values())
     repeats = {}
