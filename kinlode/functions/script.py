@@ -13,15 +13,6 @@ from kinlode.functions import conventions as C
 INDIC = "[ऀ-ൿ]"
 
 
-def _places(text: str) -> dict[int, str]:
-    parts = text.split()
-    return {int(a, 16): b for a, b in zip(parts[::2], parts[1::2], strict=True)}
-
-
-_CONSONANT, _INDEPENDENT, _DEPENDENT = _places(C.CONSONANTS), _places(C.INDEPENDENT), _places(C.DEPENDENT)
-_SPECIAL = _places(C.SPECIAL) | {int(x, 16): "" for x in C.SILENT_SIGNS.split()}
-_DOTTED = dict(zip(C.DOTTED.split()[::2], C.DOTTED.split()[1::2], strict=True))
-_DIGRAPHS = [tuple("".join(chr(int(c, 16)) for c in side.split()) for side in pair.split(">")) for pair in C.DIGRAPHS.split(";")]
 _NASAL = "\x00"
 
 
@@ -32,20 +23,20 @@ def _sounds(text: str) -> list[tuple[str, str]]:
     for ch in text:
         code = ord(ch)
         place = (code - 0x900) % 0x80 if 0x900 <= code < 0xD80 else None
-        if code in _SPECIAL:
-            out.append(("inner", _SPECIAL[code]))
+        if code in C.SPECIAL:
+            out.append(("inner", C.SPECIAL[code]))
         elif place is None:
             out.append(("join", "") if ch in "‌‍" else ("outer", ch))
-        elif place in _CONSONANT:
-            out.append(("consonant", _CONSONANT[place]))
+        elif place in C.CONSONANTS:
+            out.append(("consonant", C.CONSONANTS[place]))
         elif place == 0x3C:
             out.append(("dot", ""))
-        elif place in _DEPENDENT:
-            out.append(("matra", _DEPENDENT[place]))
+        elif place in C.DEPENDENT:
+            out.append(("matra", C.DEPENDENT[place]))
         elif place == 0x4D:
             out.append(("kill", ""))
-        elif place in _INDEPENDENT:
-            out.append(("inner", _INDEPENDENT[place]))
+        elif place in C.INDEPENDENT:
+            out.append(("inner", C.INDEPENDENT[place]))
         elif place in (1, 2):
             out.append(("inner", _NASAL))
         elif place == 3:
@@ -64,7 +55,7 @@ def transliterate(text: str) -> str:
     virama follows or the word ends."""
     if not re.search(INDIC, text):
         return text
-    for old, new in _DIGRAPHS:
+    for old, new in C.DIGRAPHS.items():
         text = text.replace(old, new)
     out: list[str] = []
     bare = False
@@ -72,8 +63,8 @@ def transliterate(text: str) -> str:
         if kind == "join":
             continue
         if kind == "dot":
-            if out and out[-1] in _DOTTED:
-                out[-1] = _DOTTED[out[-1]]
+            if out and out[-1] in C.DOTTED:
+                out[-1] = C.DOTTED[out[-1]]
             continue
         if bare and kind in ("consonant", "inner"):
             out.append("a")
@@ -98,7 +89,5 @@ def fold(text: Column) -> Column:
     return F.lower(_fold(F.coalesce(text, F.lit(""))))
 
 
-
-
 def has_indic(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(INDIC)
