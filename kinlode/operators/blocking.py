@@ -55,9 +55,11 @@ def best_of_channels(pairs: DataFrame, records: DataFrame, params: BlockingParam
     """(q, r, score, rank): rank restarts for each query, source and channel; ties go to the smaller record."""
     facts = records.filter("source <> 1").select(F.col("row_id").alias("r"), "source", F.col("addr_empty") if params.k_empty else F.lit(False).alias("addr_empty"))
     line = Window.partitionBy("q", "source", "addr_empty").orderBy(F.desc("score"), "r")
-    ranked = pairs.join(facts, "r").withColumn("rank", F.row_number().over(line) - 1)
-    kept = ranked.filter((F.col("rank") < params.k) if not params.k_empty else F.col("rank") < F.when(F.col("addr_empty"), params.k_empty).otherwise(params.k))
-    return kept.select("q", "r", "score", "rank")
+    # a constant bound on the number itself lets Spark drop the rest of a group before the exchange
+    ranked = pairs.join(facts, "r").withColumn("number", F.row_number().over(line)).filter(F.col("number") <= max(params.k, params.k_empty))
+    if params.k_empty:
+        ranked = ranked.filter(F.col("number") <= F.when(F.col("addr_empty"), params.k_empty).otherwise(params.k))
+    return ranked.select("q", "r", "score", (F.col("number") - 1).alias("rank"))
 
 
 def block(records: DataFrame, params: BlockingParams = BlockingParams(), sample: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from kinlode.functions.similarity import similarity
 from kinlode.operators import blocking, decide, evaluate, features, graph_features, model
 from kinlode.sources import tsv
 
-PARAMS = blocking.BlockingParams(k=20, k_empty=8, max_df=50, types=("name", "addrw", "addrc"))
+PARAMS = blocking.BlockingParams()  # as in production: best 20 and 8, all types, tokens of at most 5000 records
 SPACE = r"[\x09-\x0D\x20]+"
 
 
@@ -179,9 +179,9 @@ def queries() -> dict:
         "token_df": lambda s, d: blocking.token_frequency(light_tokens(s, d)),
         "token_idf_blocking": lambda s, d: round_all(blocking.blocking_idf(records(s, d), light_tokens(s, d), PARAMS)),
         "token_idf_feature": lambda s, d: round_all(features.feature_idf(records(s, d), ("name", "addrw"))),
-        "block_key_a": lambda s, d: blocking.block_by_keys(keyed(s, d), 50),
+        "block_key_a": lambda s, d: blocking.block_by_keys(keyed(s, d), PARAMS.max_df),
         "block_meta_b": lambda s, d: cands(s, d).withColumn("score", F.round("score", 6)),
-        "block_one_channel": lambda s, d: blocking.block(records(s, d), blocking.BlockingParams(k=5, k_empty=0, max_df=50, types=PARAMS.types)).select("q", "r", "rank"),
+        "block_one_channel": lambda s, d: blocking.block(records(s, d), blocking.BlockingParams(k=5, k_empty=0)).select("q", "r", "rank"),
         "block_sample": lambda s, d: blocking.block(records(s, d), PARAMS, model.sample_queries(entities(s, d), 0.5).select(F.col("q").alias("row_id"))).select("q", "r", "rank"),
         "pair_labels": lambda s, d: blocking.with_labels(cands(s, d), truth(s, d)).select("q", "r", "y"),
         "truth_pairs": truth,
@@ -258,9 +258,9 @@ STEPS = {
       list_distinct(list_transform(list_filter(range(1, len(addr)), lambda i: regexp_matches(addr[i], '[0-9]') AND NOT regexp_matches(addr[i + 1], '[0-9]')), lambda i: addr[i] || '|' || addr[i + 1])) AS street,
       list_distinct(list_concat(CASE WHEN len(name) > 0 THEN ['=' || array_to_string(name, '')] ELSE [] END, {_pairs_of('name')})) AS nb,
       list_distinct(list_concat(CASE WHEN len(name) > 0 THEN ['=' || array_to_string(keys, ' ')] ELSE [] END, {_pairs_of('keys')})) AS pb FROM (SELECT *, {_key_of('name')} AS keys FROM cut ))""",
-    "tok": "SELECT DISTINCT row_id, source, country, ttype, token FROM (SELECT row_id, source, country, 'name' AS ttype, unnest(name) AS token FROM lists UNION ALL SELECT row_id, source, country, 'addrw', unnest(addrw) FROM lists UNION ALL SELECT row_id, source, country, 'addrc', unnest(addrc) FROM lists )",
+    "tok": "SELECT DISTINCT row_id, source, country, ttype, token FROM (" + " UNION ALL ".join(f"SELECT row_id, source, country, '{k}' AS ttype, unnest({k}) AS token FROM lists " for k in tokens.TYPES) + ")",
     "freq": "SELECT country, ttype, token, count(*) AS df FROM tok WHERE source <> 1 GROUP BY ALL",
-    "idf": "SELECT freq.*, ln(n / df) AS idf FROM freq JOIN (SELECT country, count(*) AS n FROM rec WHERE source <> 1 GROUP BY country) USING (country) WHERE df <= 50",
+    "idf": "SELECT freq.*, ln(n / df) AS idf FROM freq JOIN (SELECT country, count(*) AS n FROM rec WHERE source <> 1 GROUP BY country) USING (country) WHERE df <= 5000",
     "scored": "SELECT a.row_id AS q, b.row_id AS r, round(sum(idf), 9) AS score FROM tok a JOIN idf USING (country, ttype, token) JOIN tok b USING (country, ttype, token) WHERE a.source = 1 AND b.source <> 1 GROUP BY ALL",
     "cands": "SELECT q, r, score, rank FROM (SELECT s.*, addr_empty, row_number() OVER (PARTITION BY q, source, addr_empty ORDER BY score DESC, r) - 1 AS rank FROM scored s JOIN cut ON r = row_id) WHERE rank < CASE WHEN addr_empty THEN 8 ELSE 20 END",
     "probs": f"SELECT *, {_prob} AS p FROM cands",
@@ -312,8 +312,8 @@ def oracle_sql() -> dict[str, str]:
         **{f"tokens_{k}": _chain("lists") + f"SELECT row_id, unnest({k}) AS token FROM lists" for k in tokens.TYPES},
         "token_df": _chain("freq") + "SELECT * FROM freq",
         "token_idf_blocking": _chain("idf") + "SELECT country, ttype, token, df, round(idf, 6) AS idf FROM idf",
-        "token_idf_feature": _chain("tok") + "SELECT country, ttype, token, round(ln((any_value(n) + 1) / count(*)), 6) AS idf FROM tok JOIN (SELECT country, count(*) AS n FROM rec GROUP BY country) USING (country) WHERE ttype <> 'addrc' GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY country, ttype, token"),
-        "block_key_a": _chain("lists") + ", k AS (SELECT row_id, source, country, unnest(list_distinct(list_concat(street, CASE WHEN len(name) >= 2 THEN ['k2:' || least(name[1], name[2]) || ' ' || greatest(name[1], name[2])] ELSE [] END, CASE WHEN len(name) > 0 THEN ['kc:' || compact] ELSE [] END))) AS token FROM lists), d AS (SELECT country, token FROM k WHERE source <> 1 GROUP BY ALL HAVING count(*) <= 50) SELECT a.row_id AS q, b.row_id AS r, count(*) AS score FROM k a JOIN d USING (country, token) JOIN k b USING (country, token) WHERE a.source = 1 AND b.source <> 1 GROUP BY ALL",
+        "token_idf_feature": _chain("tok") + "SELECT country, ttype, token, round(ln((any_value(n) + 1) / count(*)), 6) AS idf FROM tok JOIN (SELECT country, count(*) AS n FROM rec GROUP BY country) USING (country) WHERE ttype IN ('name', 'addrw') GROUP BY country, ttype, token",
+        "block_key_a": _chain("lists") + ", k AS (SELECT row_id, source, country, unnest(list_distinct(list_concat(street, CASE WHEN len(name) >= 2 THEN ['k2:' || least(name[1], name[2]) || ' ' || greatest(name[1], name[2])] ELSE [] END, CASE WHEN len(name) > 0 THEN ['kc:' || compact] ELSE [] END))) AS token FROM lists), d AS (SELECT country, token FROM k WHERE source <> 1 GROUP BY ALL HAVING count(*) <= 5000) SELECT a.row_id AS q, b.row_id AS r, count(*) AS score FROM k a JOIN d USING (country, token) JOIN k b USING (country, token) WHERE a.source = 1 AND b.source <> 1 GROUP BY ALL",
         "block_meta_b": _chain("cands") + "SELECT q, r, round(score, 6) AS score, rank FROM cands",
         "block_one_channel": _chain("scored", "rec") + "SELECT q, r, rank FROM (SELECT s.*, row_number() OVER (PARTITION BY q, source ORDER BY score DESC, r) - 1 AS rank FROM scored s JOIN rec ON r = row_id) WHERE rank < 5",
         "block_sample": _chain("cands") + f"SELECT q, r, rank FROM cands WHERE {_fold(10000, model.SEED + 1)} < 5000",

@@ -17,11 +17,11 @@ from kinlode.sources import package, tsv
 
 PAIRS = "q long, r long, p double"
 RECORDS = [
-    ("S1-1", "Herrera Family Office LLC", "13802 Martin Street, Andover, MN"),
-    ("S2-10", "HERRERA FAMILY OFFICE (LLC)", "##13802 MARTIN ST, ANDOVER, MN"),
-    ("S2-11", "Zephyr Labs", "99 Lake Rd, Duluth, MN"),
-    ("S3-20", "Herrera Family Office", ""),
-    ("S3-21", "Acme Robotics", "5 Main St, Austin, TX"),
+    ("S1-1", "Quillon Marsh Bakery LLC", "88 Tolver Avenue, Pemberly, OR"),
+    ("S2-10", "QUILLON MARSH BAKERY, [L.L.C.]", "* 88 TOLVER AVE, PEMBERLY, OR"),
+    ("S2-11", "Ostrava Kites", "7 Canal Rd, Dunmore, VT"),
+    ("S3-20", "Quillon Marsh Bakery", ""),
+    ("S3-21", "Tin Drum Cinema", "301 Hill St, Laredo, TX"),
 ]
 
 
