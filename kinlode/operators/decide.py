@@ -6,6 +6,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinlode.sources.files import read_text, write_text
+
 
 @dataclass(frozen=True)
 class DecisionParams:
@@ -15,13 +17,11 @@ class DecisionParams:
     singleton_boost: float = 1.0
 
     def save(self, path: str) -> None:
-        with open(path, "w") as file:
-            json.dump(asdict(self), file)
+        write_text(path, json.dumps(asdict(self)))
 
     @classmethod
     def load(cls, path: str) -> "DecisionParams":
-        with open(path) as file:
-            return cls(**json.load(file))
+        return cls(**json.loads(read_text(path)))
 
 
 def exclusive(pairs: DataFrame) -> DataFrame:

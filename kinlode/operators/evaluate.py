@@ -38,15 +38,17 @@ def _summary() -> list[Column]:
 
 
 def breakdown(queries: DataFrame, pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """The summary for all, for entities with and without matches, and for each group of queries (q, grp)."""
+    """The summary for all, for entities with and without matches, by number of matches, and for each group of queries (q, grp)."""
     each = entity_f05(queries, pred, truth).join(queries.select("q", "grp"), "q")
-    slices = F.array(F.lit("all"), F.when(F.col("n_true") == 0, "singleton").otherwise("non_singleton"), F.concat(F.lit("group="), F.coalesce("grp", F.lit("?"))))
-    return each.withColumn("slice", F.explode(slices)).groupBy("slice").agg(*_summary())
+    slices = F.array(F.lit("all"), F.when(F.col("n_true") == 0, "singleton").otherwise("non_singleton"), F.when(F.col("n_true") >= 5, "matches=5+").when(F.col("n_true") >= 2, "matches=2-4").when(F.col("n_true") == 1, "matches=1"), F.concat(F.lit("group="), F.coalesce("grp", F.lit("?"))))
+    return each.withColumn("slice", F.explode(slices)).filter("slice is not null").groupBy("slice").agg(*_summary())
 
 
-def blocking_report(queries: DataFrame, candidates: DataFrame, truth: DataFrame) -> DataFrame:
-    """(pair_recall, entity_full_recall, pairs_per_s1, total_pairs, oracle_f05): what blocking leaves possible."""
+def blocking_report(queries: DataFrame, candidates: DataFrame, truth: DataFrame, *by: str) -> DataFrame:
+    """(pair_recall, entity_full_recall, pairs_per_s1, total_pairs, oracle_f05): what blocking leaves possible, for all or for
+    each value of the columns `by` of queries."""
     c = pair_counts(queries, candidates, truth).withColumn("oracle", f05(F.col("n_true"), F.col("tp"), F.col("tp")))
+    c = (c.join(queries.select("q", *by), "q") if by else c).groupBy(*by)
     full = F.sum(F.when((F.col("n_true") > 0) & (F.col("tp") == F.col("n_true")), 1).otherwise(0))
     return c.agg(F.try_divide(F.sum("tp"), F.sum("n_true")).alias("pair_recall"), F.try_divide(full, F.count_if(F.col("n_true") > 0)).alias("entity_full_recall"), (F.sum("n_pred") / F.count(F.lit(1))).alias("pairs_per_s1"), F.sum("n_pred").alias("total_pairs"), F.avg("oracle").alias("oracle_f05"))
 

@@ -13,6 +13,7 @@ from kinlode.operators import blocking, evaluate, features, graph_features, mode
 from kinlode.operators.decide import DecisionParams, decide
 from kinlode.plans.stages import Stages, fingerprint, input_state
 from kinlode.sources import tsv
+from kinlode.sources.files import write_text
 
 TEXT_RULES = (addresses, conventions, names, script, tokens, tsv)
 
@@ -64,7 +65,7 @@ def train(records: DataFrame, truth: DataFrame, settings: Settings, source: str
     queries = table.filter("source = 1").select(F.col("row_id").alias("q"), F.col("country").alias("grp"))
     pairs = candidates(table, settings, stages)
     base = blocking.with_labels(describe(pairs, table, stages), truth)
-    report = {"blocking": evaluate.blocking_report(queries, pairs, truth).first().asDict()}
+    report = {"blocking": evaluate.blocking_report(queries, pairs, truth).first().asDict(), "blocking_groups": [r.asDict() for r in evaluate.blocking_report(queries, pairs, truth, "grp").collect()]}
     boosted = {"folds": settings.folds, "share": settings.share, "rounds": settings.rounds}
     scored = {"rules": features.with_rule_score(base).select("q", "r", "p")}
     scored["stage1"] = stages.table("stage1", lambda: model.cross_fit(base, **boosted), "features", (model,), **boosted)
@@ -78,8 +79,7 @@ def train(records: DataFrame, truth: DataFrame, settings: Settings, source: str
         model.final_fit(data, **boosted).write().overwrite().save(f"{settings.work_dir}/model-{name}")
     DecisionParams(**report["stage2"]["decision"]).save(f"{settings.work_dir}/decision.json")
     report["made"] = stages.made
-    with open(f"{settings.work_dir}/report.json", "w") as file:
-        json.dump(report, file, indent=1, default=str)
+    write_text(f"{settings.work_dir}/report.json", json.dumps(report, indent=1, default=str))
     return report
 
 
@@ -124,7 +124,7 @@ def blocking_experiments(records: DataFrame, truth: DataFrame, settings: Setting
     for i, params in enumerate(grid):
         began = time.time()
         pairs = stages.table(f"grid{i}", lambda params=params: blocking.block(table, params, queries.select(F.col("q").alias("row_id"))), "records", (blocking,), params=asdict(params), share=share)
-        report = evaluate.blocking_report(queries, pairs, known).first().asDict()
+        report = evaluate.blocking_report(queries, pairs, known).first().asDict() | {"groups": [r.asDict() for r in evaluate.blocking_report(queries, pairs, known, "grp").collect()]}
         out.append({"params": params, "seconds": round(time.time() - began, 1)} | report)
     return out
 

@@ -202,6 +202,7 @@ def queries() -> dict:
         "f05_macro": lambda s, d: round_all(evaluate.macro_f05(entities(s, d), kept(s, d), truth(s, d))),
         "f05_breakdown": lambda s, d: round_all(evaluate.breakdown(entities(s, d), kept(s, d), truth(s, d))),
         "blocking_report": lambda s, d: round_all(evaluate.blocking_report(entities(s, d), cands(s, d), truth(s, d))),
+        "blocking_report_groups": lambda s, d: round_all(evaluate.blocking_report(entities(s, d), cands(s, d), truth(s, d), "grp")),
         "error_kinds": lambda s, d: evaluate.errors(entities(s, d), cands(s, d), kept(s, d), truth(s, d)),
         "folds": lambda s, d: entities(s, d).select("q", model.bucket(F.col("q"), 3).alias("fold")),
         "s1_sample": lambda s, d: model.sample_queries(entities(s, d), 0.4).select("q"),
@@ -336,8 +337,9 @@ def oracle_sql() -> dict[str, str]:
         "decide_expected_f": _chain("single") + _expected(0.02, 1.25),
         "f05_entity": _chain("scores") + "SELECT q, n_true, n_pred, tp, round(f05, 6) AS f05 FROM scores",
         "f05_macro": _chain("scores") + f"SELECT {SUMMARY} FROM scores",
-        "f05_breakdown": _chain("scores") + f"SELECT slice, {SUMMARY} FROM (SELECT *, unnest(['all', CASE WHEN n_true = 0 THEN 'singleton' ELSE 'non_singleton' END, 'group=' || grp]) AS slice FROM scores) GROUP BY slice",
+        "f05_breakdown": _chain("scores") + f"SELECT slice, {SUMMARY} FROM (SELECT *, unnest(['all', CASE WHEN n_true = 0 THEN 'singleton' ELSE 'non_singleton' END, CASE WHEN n_true >= 5 THEN 'matches=5+' WHEN n_true >= 2 THEN 'matches=2-4' WHEN n_true = 1 THEN 'matches=1' END, 'group=' || grp]) AS slice FROM scores) WHERE slice IS NOT NULL GROUP BY slice",
         "blocking_report": _chain("found") + "SELECT round(sum(tp) / nullif(sum(n_true), 0), 6) AS pair_recall, round(sum((n_true > 0 AND tp = n_true)::INT) / nullif(sum((n_true > 0)::INT), 0), 6) AS entity_full_recall, round(sum(n_pred) / count(*), 6) AS pairs_per_s1, sum(n_pred)::BIGINT AS total_pairs, round(avg(CASE WHEN n_true = 0 THEN (tp = 0)::INT WHEN tp = 0 THEN 0 ELSE 1.25 * (tp / n_true) / (0.25 + tp / n_true) END), 6) AS oracle_f05 FROM found",
+        "blocking_report_groups": _chain("found", "ents") + "SELECT grp, round(sum(tp) / nullif(sum(n_true), 0), 6) AS pair_recall, round(sum((n_true > 0 AND tp = n_true)::INT) / nullif(sum((n_true > 0)::INT), 0), 6) AS entity_full_recall, round(sum(n_pred) / count(*), 6) AS pairs_per_s1, sum(n_pred)::BIGINT AS total_pairs, round(avg(CASE WHEN n_true = 0 THEN (tp = 0)::INT WHEN tp = 0 THEN 0 ELSE 1.25 * (tp / n_true) / (0.25 + tp / n_true) END), 6) AS oracle_f05 FROM found JOIN ents USING (q) GROUP BY grp",
         "error_kinds": _chain("kept", "truth", "cands") + "SELECT q, r, CASE WHEN t.q IS NOT NULL AND k.q IS NULL THEN CASE WHEN c.q IS NULL THEN 'fn_blocking' ELSE 'fn_matcher' END WHEN q NOT IN (SELECT q FROM truth) THEN 'fp_singleton' ELSE 'fp_other' END AS kind FROM (SELECT q, r, 1 AS one FROM truth UNION SELECT q, r, 1 FROM kept) LEFT JOIN (SELECT DISTINCT q, r FROM truth) t USING (q, r) LEFT JOIN kept k USING (q, r) LEFT JOIN cands c USING (q, r) WHERE t.q IS NULL OR k.q IS NULL",
         "folds": _chain("ents") + f"SELECT q, {_fold(3)} AS fold FROM ents",
         "s1_sample": _chain("ents") + f"SELECT q FROM ents WHERE {_fold(10000, model.SEED + 1)} < 4000",

@@ -15,6 +15,8 @@ def _lines(spark: SparkSession, path: str, fields: tuple[str, ...]) -> DataFrame
     first = lines.first()
     if first is None or first["value"] != header:
         raise ValueError(f"{path}: the header must be {header!r}")
+    if lines.filter(F.col("value") == header).limit(2).count() > 1:
+        raise ValueError(f"{path}: the header stands again further down")
     parts = F.split("value", "\t", -1)
     ok = F.raise_error(F.concat(F.lit(f"{path}: not {len(fields)} fields: "), F.col("value")))
     checked = lines.filter(F.col("value") != header).select(F.when(F.size(parts) == len(fields), parts).otherwise(ok.cast("array<string>")).alias("p"))

@@ -109,9 +109,11 @@ def test_metric(spark):
     row = evaluate.macro_f05(q, pred, truth).first()
     assert abs(row.macro_f05 - (0.7142857 + 2) / 4) < 1e-6 and row.pred_pairs == 4
     slices = {r.slice: r.n for r in evaluate.breakdown(q, pred, truth).collect()}
-    assert slices == {"all": 4, "singleton": 3, "non_singleton": 1, "group=a": 2, "group=b": 2}
+    assert slices == {"all": 4, "singleton": 3, "non_singleton": 1, "matches=2-4": 1, "group=a": 2, "group=b": 2}
     report = evaluate.blocking_report(q, pred.filter("r <> 812"), truth).first()
     assert report.pair_recall == 0.5 and report.entity_full_recall == 0 and report.total_pairs == 3
+    groups = {r.grp: r for r in evaluate.blocking_report(q, pred.filter("r <> 812"), truth, "grp").collect()}
+    assert groups["a"].pair_recall == 0.5 and groups["a"].pairs_per_s1 == 1 and groups["b"].pair_recall is None and groups["b"].oracle_f05 == 1
     kinds = collections.Counter(r.kind for r in evaluate.errors(q, pred, pred.filter("r <> 812"), truth).collect())
     assert kinds == {"fn_matcher": 1, "fp_other": 1, "fp_singleton": 1}
 
@@ -195,6 +197,8 @@ def test_sources(spark, tmp_path):
     for bad in ([("S1-1", "a", "b")], [("X1-1", "a", "b", "US")]):
         with pytest.raises(Exception, match="not 4 fields|malformed id"):
             tsv.read_source(spark, write(tmp_path / "c.tsv", [tsv.FIELDS, *bad])).collect()
+    with pytest.raises(ValueError):
+        tsv.read_source(spark, write(tmp_path / "twice.tsv", [tsv.FIELDS, ("S1-1", "a", "b", "US"), tsv.FIELDS]))
     truth = tsv.read_truth(spark, write(tmp_path / "t.tsv", [tsv.TRUTH_FIELDS, ("S1-1", "S1-22,"), ("S1-22", "")]))
     assert {r.entity_id: r.matches for r in truth.collect()} == {"S1-1": ["S1-22"], "S1-22": []}
     assert [(r.q, r.r) for r in tsv.truth_pairs(truth, tsv.read_source(spark, good)).collect()] == [(10**12 + 1, 10**12 + 22)]
