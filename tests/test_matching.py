@@ -183,6 +183,24 @@ def test_similarities():
     assert round(s.jaro_winkler("martha", "marhta"), 2) == 96.11 and s.token_sort("b a", "a b") == 100
 
 
+def test_batches_of_similarities():
+    """A batch gives the very values of the functions of two strings: empty strings, 64 letters and more, other scripts."""
+    s, rng = similarity, random.Random(4)
+    pairs = [("", ""), ("", "a"), ("a", ""), ("a" * 64, "a" * 63 + "b"), ("ab" * 32, "ba" * 32), ("x" * 65, "x" * 200), ("a" * 9, "b" * (s.WINDOWED + 1)), ("\0a", "a\0"), ("a b", "a b c")]
+    for letters, most in (("ab ", 12), ("abcdefgh ", 40), ("abc d", 90), ("aé\u0915\U0001d4b3 b", 20)):
+        pairs += [tuple("".join(rng.choices(letters, k=rng.randint(0, most))) for _ in range(2)) for _ in range(300)]
+    assert set(s.KINDS) == {"ratio", "token_sort", "token_set", "partial", "jaro_winkler"}
+    for kind, batch in s.KINDS.items():
+        assert batch(pairs) == [getattr(s, kind)(*p) for p in pairs] and batch([]) == []
+
+
+def test_similarity_of_nulls_and_repeats(spark):
+    rows = [(0, "ab", "abc"), (1, None, "x"), (2, "ab", "abc"), (3, "x", None), (4, None, None)]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    got = {r.i: r.x for r in df.select("i", similarity.similarity("ratio", F.col("a"), F.col("b")).alias("x")).collect()}
+    assert got == {0: 80.0, 1: None, 2: 80.0, 3: None, 4: None}
+
+
 def write(path, lines):
     path.write_text("".join("\t".join(x) + "\n" for x in lines))
     return str(path)
