@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kinlode.functions import addresses, names, script, tokens
 from kinlode.functions.similarity import similarity
 from kinlode.operators import blocking, decide, evaluate, features, graph_features, model
+from kinlode.plans import normaliser_sql
 from kinlode.sources import tsv
 
 PARAMS = blocking.BlockingParams()  # as in production: best 20 and 8, all types, tokens of at most 5000 records
@@ -130,8 +131,30 @@ def q_gbt(spark, sf_dir):
     return model.cross_fit(keyed, folds=2, share=1.0, rounds=3, depth=3)
 
 
+NAME_COLUMNS = ["row_id", "name_full", "name_core", "name_alias", "legal", "is_domain", "is_indic"]
+ADDRESS_COLUMNS = ["row_id", "addr_norm", "state", "nums", "codes", "addr_empty"]
+# What names and address components are written with, by row.
+NAME_ENDS = (" L.L.C.", " (Pvt.) Ltd", " & Sons #12", " d/b/a Other Name, Inc.", " t0ols 4you 12345", ".com", " a/k/a The Q.R. Company")
+ADDRESS_ENDS = (("US", ", New Mexico"), ("India", ", 2nd Floor, Orissa"), ("France", ", 007 R. du Moulin bis, Hauts-de-France"), ("us", ", Apt.No 12-B, TX, NM"), ("India", ", 12 Goa, null, Nagar Rd"), ("Nowhere", ", P.O. Box 0040, tx"))
+
+
 def q_names(spark, sf_dir):
-    return names.normalize_names(rec_view(spark, sf_dir)).select("row_id", "name_full", "name_core", "name_alias", "legal", "is_domain", "is_indic")
+    return names.normalize_names(rec_view(spark, sf_dir)).select(*NAME_COLUMNS)
+
+
+def q_name_forms(spark, sf_dir):
+    end = F.element_at(F.array(*map(F.lit, NAME_ENDS)), F.pmod("row_id", F.lit(len(NAME_ENDS))).cast("int") + 1)
+    return names.normalize_names(rec_view(spark, sf_dir).select("row_id", F.concat("business_name", end).alias("business_name"))).select(*NAME_COLUMNS)
+
+
+def q_address_forms(spark, sf_dir):
+    pick = lambda i: F.element_at(F.array(*[F.lit(e[i]) for e in ADDRESS_ENDS]), F.pmod("row_id", F.lit(len(ADDRESS_ENDS))).cast("int") + 1)
+    r = rec_view(spark, sf_dir).select("row_id", F.concat("business_address", pick(1)).alias("business_address"), pick(0).alias("country"))
+    return addresses.normalize_addresses(r).select(*ADDRESS_COLUMNS)
+
+
+def whole_texts(spark, sf_dir, column):
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("row_id"), F.col("text").alias(column), F.col("lang").alias("country"))
 
 
 def q_segmenter(spark, sf_dir):
@@ -209,8 +232,10 @@ def queries() -> dict:
         "matching_results": q_lists("matched_entity_ids", kept), "candidate_pairs": q_lists("candidate_entity_ids", lambda s, d: cands(s, d).select("q", "r")),
         "output_check": lambda s, d: tsv.check_lists(q_lists("matched_entity_ids", kept)(s, d), "matched_entity_ids"),
         "fold_text": lambda s, d: documents(s, d).select("doc_id", script.fold(F.col("text")).alias("folded")),
-        "names_full": q_names, "segmenter": q_segmenter,
-        "addresses_full": lambda s, d: addresses.normalize_addresses(rec_view(s, d)).select("row_id", "addr_norm", "state", "nums", "codes", "addr_empty"),
+        "names_full": q_names, "segmenter": q_segmenter, "name_forms": q_name_forms, "address_forms": q_address_forms,
+        "addresses_full": lambda s, d: addresses.normalize_addresses(rec_view(s, d)).select(*ADDRESS_COLUMNS),
+        "names_text": lambda s, d: names.normalize_names(whole_texts(s, d, "business_name")).select(*NAME_COLUMNS),
+        "addresses_text": lambda s, d: addresses.normalize_addresses(whole_texts(s, d, "business_address")).select(*ADDRESS_COLUMNS),
         "gbt_oof": q_gbt,
     }
     return {name: _long(query) for name, query in out.items()}
@@ -244,6 +269,7 @@ KEY = f"CASE WHEN w = '' OR regexp_full_match(w, '[0-9]+') THEN w ELSE (CASE WHE
 _key_of = lambda column: f"list_transform({column}, lambda w: {KEY})"
 _pairs_of = lambda column: f"CASE WHEN len({column}) > 1 THEN list_transform(range(1, len({column})), lambda i: least({column}[i], {column}[i + 1]) || ' ' || greatest({column}[i], {column}[i + 1])) ELSE [] END"
 _cross_of = lambda a, b: f"flatten(list_transform({a}, lambda x: list_transform({b}, lambda y: x || '|' || y)))"
+_GLUED = "SELECT row_id, array_to_string(list_filter(string_split_regex(lower(business_name), '[^a-z]+'), lambda x: x <> '')[1:2], '') AS business_name FROM rec WHERE source <> 1"
 _cut = lambda column: f"list_filter(string_split_regex(lower({column}), '[^a-z0-9]+'), lambda x: x <> '')"
 _prob = "round(score / (score + 20), 6)"
 
@@ -348,6 +374,19 @@ def oracle_sql() -> dict[str, str]:
         "output_check": _chain("kept", "rec") + f", l AS ({_lists('matched_entity_ids', 'kept')}), i AS (SELECT list_filter(string_split(matched_entity_ids, ','), lambda x: x <> '') AS ids FROM l) " + """SELECT 'repeated_s1' AS problem, (SELECT count(*) FROM (SELECT 1 FROM l GROUP BY source1_entity_id HAVING count(*) > 1)) AS n
       UNION ALL SELECT 'repeated_match', (SELECT count(*) FROM i WHERE len(ids) <> len(list_distinct(ids))) UNION ALL SELECT 'wrong_kind', (SELECT count(*) FROM i WHERE len(list_filter(ids, lambda x: NOT regexp_matches(x, '^S[23]-'))) > 0)""",
     }
+    quoted = lambda items: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+    ends = lambda items: f"({quoted(items)})[row_id % {len(items)} + 1]"
+    named, sited = f"SELECT {', '.join(NAME_COLUMNS)} FROM n", f"SELECT {', '.join(ADDRESS_COLUMNS)} FROM a"
+    out |= {
+        "fold_text": f"SELECT doc_id, {normaliser_sql.fold('text')} AS folded FROM documents",
+        "names_full": f"{_chain('rec')}, {normaliser_sql.names_of('SELECT row_id, business_name FROM rec')} {named}",
+        "name_forms": f"{_chain('rec')}, {normaliser_sql.names_of(f'SELECT row_id, business_name || {ends(NAME_ENDS)} AS business_name FROM rec')} {named}",
+        "names_text": f"WITH {normaliser_sql.names_of('SELECT doc_id AS row_id, text AS business_name FROM documents')} {named}",
+        "addresses_full": f"{_chain('rec')}, {normaliser_sql.addresses_of('SELECT row_id, business_address, country FROM rec')} {sited}",
+        "address_forms": f"{_chain('rec')}, {normaliser_sql.addresses_of(f'SELECT row_id, business_address || {ends([e[1] for e in ADDRESS_ENDS])} AS business_address, {ends([e[0] for e in ADDRESS_ENDS])} AS country FROM rec')} {sited}",
+        "addresses_text": f"WITH {normaliser_sql.addresses_of('SELECT doc_id AS row_id, text AS business_address, lang AS country FROM documents')} {sited}",
+        "segmenter": f"{_chain('rec')}, {normaliser_sql.segmented('SELECT row_id, business_name FROM rec WHERE source = 1', _GLUED)} SELECT row_id, business_name, name_core FROM n",
+    }
     settings = ", ".join(f"({i}, {str(p.exclusive).lower()}, '{p.method}', {p.threshold}, {p.singleton_boost})" for i, p in enumerate(decide.grid()))
     expected = " UNION ALL ".join(f"SELECT {i} AS setting, q, r FROM ({_expected(p.threshold, p.singleton_boost)})" for i, p in enumerate(decide.grid()) if p.method == "expected_f")
     out["tune_grid"] = _chain("single", "truth", "ents") + f""", g(setting, exclusive, method, threshold, boost) AS (VALUES {settings}),
