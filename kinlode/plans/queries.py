@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kinlode.functions import addresses, names, script, tokens
 from kinlode.functions.similarity import similarity
 from kinlode.operators import blocking, decide, evaluate, features, graph_features, model
-from kinlode.plans import normaliser_sql
+from kinlode.plans import features_sql, normaliser_sql
 from kinlode.sources import tsv
 
 PARAMS = blocking.BlockingParams()  # as in production: best 20 and 8, all types, tokens of at most 5000 records
@@ -113,11 +113,11 @@ def q_jw(spark, sf_dir):
 
 def q_ratios(spark, sf_dir):
     s = sided(spark, sf_dir, "name_core", "addr_norm")
-    return s.select("q", "r", *[similarity(k, F.col("q_name_core"), F.col("r_name_core")).alias(k) for k in ("ratio", "token_sort", "token_set", "partial")], similarity("token_set", F.col("q_addr_norm"), F.col("r_addr_norm")).alias("addr_token_set"))
+    return round_all(s.select("q", "r", *[similarity(k, F.col("q_name_core"), F.col("r_name_core")).alias(k) for k in ("ratio", "token_sort", "token_set", "partial")], similarity("token_set", F.col("q_addr_norm"), F.col("r_addr_norm")).alias("addr_token_set")))
 
 
 def q_features(spark, sf_dir):
-    return features.with_rule_score(features.pair_features(cands(spark, sf_dir), records(spark, sf_dir)))
+    return round_all(features.with_rule_score(features.pair_features(cands(spark, sf_dir), records(spark, sf_dir))))
 
 
 def q_neighbours(spark, sf_dir):
@@ -216,7 +216,7 @@ def queries() -> dict:
         "competition": lambda s, d: round_all(graph_features.competition(with_p(cands(s, d)).drop("score", "rank"))),
         "mass": lambda s, d: round_all(graph_features.mass(graph(s, d)).select("q", "r", "code_mass", "name_mass", "addr_mass", "other_cluster_mass", "own_cluster_is_q_code", "xsrc_code_p", "p1_rank_q_src", "q_src_sum_p1", "q_sum_p1_empty", "q_sum_p1_nonempty", "r_n_claim_01")),
         "neighbour_pairs": q_neighbours,
-        "neighbour_features": lambda s, d: graph_features.neighbours(graph(s, d), records(s, d)),
+        "neighbour_features": lambda s, d: round_all(graph_features.neighbours(graph(s, d), records(s, d)), 9),
         "exclusive": lambda s, d: decide.exclusive(with_p(cands(s, d))).select("q", "r"),
         "decide_threshold": kept,
         "decide_expected_f": lambda s, d: decide.by_expected_f(decide.exclusive(with_p(cands(s, d))), 0.02, 1.25).select("q", "r"),
@@ -329,6 +329,7 @@ def oracle_sql() -> dict[str, str]:
     top = lambda x: f"coalesce(list_max(list_transform({x}, lambda t: t.idf)), 0)"
     less = lambda a, b: f"list_filter({a}, lambda x: NOT list_contains({b}, x))"
     weights = "fi AS (SELECT country, token, ln((any_value(n) + 1) / count(*)) AS idf FROM (SELECT country, row_id, unnest(name) AS token FROM cut) JOIN (SELECT country, count(*) AS n FROM rec GROUP BY country) USING (country) GROUP BY country, token), wt AS (SELECT row_id, list({'token': token, 'idf': idf}) AS w FROM (SELECT country, row_id, unnest(name) AS token FROM cut) JOIN fi USING (country, token) GROUP BY row_id), cw AS (SELECT row_id, coalesce(w, []) AS w FROM cut LEFT JOIN wt USING (row_id))"
+    numbers = [case(have, "list_contains(b.nums, a.nums[1])", "num_first_q_in_r"), case(have, "list_contains(a.nums, b.nums[1])", "num_first_r_in_q"), f"CASE WHEN {have} THEN round({jaccard('a.nums', 'b.nums')}, 6) END AS num_jacc", case(have, f"len(list_distinct({less('a.nums', 'b.nums')}))", "num_q_missing"), case(have, f"len(list_distinct({less('b.nums', 'a.nums')}))", "num_r_extra"), case(have, "levenshtein(a.nums[1], b.nums[1])", "code_first_lev"), case(have, "a.nums[1] = b.nums[1]", "code_first_eq"), f"CASE WHEN {have} THEN round({jaccard('a.nums', 'b.nums')}, 6) END AS code_jacc"]
     out = {
         "rec_view": _chain("rec") + "SELECT * FROM rec",
         "light_records": _chain("cut") + "SELECT row_id, array_to_string(name, ' ') AS name_core, array_to_string(addr, ' ') AS addr_norm, array_to_string(nums, ' ') AS codes, addr_empty FROM cut",
@@ -349,7 +350,7 @@ def oracle_sql() -> dict[str, str]:
         "ctx_features": _chain("cands") + "SELECT q, r, round(score, 6) AS score, rank, round(CASE WHEN max(score) OVER a > 0 THEN score / max(score) OVER a ELSE 0 END, 6) AS blk_frac_qmax, count(*) OVER b AS r_ncand, row_number() OVER (PARTITION BY r ORDER BY score DESC, q) - 1 AS r_rank, round(CASE WHEN max(score) OVER b > 0 THEN score / max(score) OVER b ELSE 0 END, 6) AS blk_frac_rmax FROM cands WINDOW a AS (PARTITION BY q), b AS (PARTITION BY r)",
         "support_features": _chain("keyed") + "SELECT q, r, CASE WHEN r_code IS NOT NULL THEN count(*) OVER (PARTITION BY q, r_code) - 1 END AS code_support, sum(CASE WHEN r_code = q_code THEN 1 ELSE 0 END) OVER (PARTITION BY q)::BIGINT AS code_support_s1, CASE WHEN r_name IS NOT NULL THEN count(*) OVER (PARTITION BY q, r_name) - 1 END AS name_support FROM keyed",
         "idf_overlap": _chain("cands", "cut") + f", {weights} SELECT q, r, {rnd(total(shared), 'idf_shared')}, CASE WHEN {total('a.w')} > 0 THEN round({total(shared)} / {total('a.w')}, 6) END AS idf_frac_q, CASE WHEN {total('b.w')} > 0 THEN round({total(shared)} / {total('b.w')}, 6) END AS idf_frac_r, {rnd(top(shared), 'idf_max_shared')}, {rnd(top(less('a.w', 'b.w')), 'idf_miss_q')}, {rnd(top(less('b.w', 'a.w')), 'idf_miss_r')} FROM cands JOIN cw a ON q = a.row_id JOIN cw b ON r = b.row_id",
-        "number_features": _chain("cands", "cut") + "SELECT q, r, " + ", ".join([case(have, "list_contains(b.nums, a.nums[1])", "num_first_q_in_r"), case(have, "list_contains(a.nums, b.nums[1])", "num_first_r_in_q"), f"CASE WHEN {have} THEN round({jaccard('a.nums', 'b.nums')}, 6) END AS num_jacc", case(have, f"len(list_distinct({less('a.nums', 'b.nums')}))", "num_q_missing"), case(have, f"len(list_distinct({less('b.nums', 'a.nums')}))", "num_r_extra"), case(have, "levenshtein(a.nums[1], b.nums[1])", "code_first_lev"), case(have, "a.nums[1] = b.nums[1]", "code_first_eq"), f"CASE WHEN {have} THEN round({jaccard('a.nums', 'b.nums')}, 6) END AS code_jacc"]) + " " + both,
+        "number_features": _chain("cands", "cut") + "SELECT q, r, " + ", ".join(numbers) + " " + both,
         "token_counts": _chain("cands", "cut") + f"SELECT q, r, len(a.name) AS n_tok_q, len(b.name) AS n_tok_r {both}",
         "jaro_winkler": _chain("cands", "cut") + f"SELECT q, r, round(jaro_winkler_similarity(array_to_string(a.name, ' '), array_to_string(b.name, ' ')), 5) AS jw, levenshtein(array_to_string(a.name, ' '), array_to_string(b.name, ' ')) AS lev {both} WHERE len(a.name) > 0 AND len(b.name) > 0",
         "competition": _chain("probs") + "SELECT q, r, p, p AS p1, row_number() OVER a - 1 AS p1_rank_q, round(CASE WHEN max(p) OVER b > 0 THEN p / max(p) OVER b ELSE 0 END, 6) AS p1_frac_qmax, round(sum(p) OVER b, 6) AS q_sum_p1, (sum((p > 0.5)::INT) OVER b)::BIGINT AS q_n_above_half, round(p - coalesce(lead(p) OVER a, 0), 6) AS p1_gap_q_next, round(m, 6) AS r_max_other, place - 1 AS p1_rank_r, round(sum(p) OVER (PARTITION BY r) - p, 6) AS r_sum_p1_other, round(p - m, 6) AS p1_gap_r_other FROM (SELECT *, row_number() OVER c AS place, CASE WHEN row_number() OVER c = 1 THEN coalesce(lead(p) OVER c, 0) ELSE first_value(p) OVER c END AS m FROM probs WINDOW c AS (PARTITION BY r ORDER BY p DESC, q)) WINDOW a AS (PARTITION BY q ORDER BY p DESC, r), b AS (PARTITION BY q)",
@@ -374,6 +375,9 @@ def oracle_sql() -> dict[str, str]:
         "output_check": _chain("kept", "rec") + f", l AS ({_lists('matched_entity_ids', 'kept')}), i AS (SELECT list_filter(string_split(matched_entity_ids, ','), lambda x: x <> '') AS ids FROM l) " + """SELECT 'repeated_s1' AS problem, (SELECT count(*) FROM (SELECT 1 FROM l GROUP BY source1_entity_id HAVING count(*) > 1)) AS n
       UNION ALL SELECT 'repeated_match', (SELECT count(*) FROM i WHERE len(ids) <> len(list_distinct(ids))) UNION ALL SELECT 'wrong_kind', (SELECT count(*) FROM i WHERE len(list_filter(ids, lambda x: NOT regexp_matches(x, '^S[23]-'))) > 0)""",
     }
+    out["ratio_family"] = features_sql.ratio_family(_chain("cands", "lists"))
+    out["pair_features_rules"] = features_sql.pair_features(_chain("cands", "lists", "tok", "rec", "keyed"), numbers)
+    out["neighbour_features"] = features_sql.neighbours(_chain("keyed", "cut"), out["neighbour_pairs"].removeprefix(_chain("keyed") + ", ").join(("WITH ", "")))
     quoted = lambda items: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
     ends = lambda items: f"({quoted(items)})[row_id % {len(items)} + 1]"
     named, sited = f"SELECT {', '.join(NAME_COLUMNS)} FROM n", f"SELECT {', '.join(ADDRESS_COLUMNS)} FROM a"
