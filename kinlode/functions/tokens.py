@@ -52,11 +52,13 @@ def key_tokens(records: DataFrame) -> DataFrame:
     return records.withColumn("keys", F.array_distinct(F.concat("street", two, whole)))
 
 
-def explode_tokens(records: DataFrame, types: tuple[str, ...] = TYPES) -> DataFrame:
-    """(row_id, source, country, ttype, token), one row for each token of a record."""
+def explode_tokens(records: DataFrame, types: tuple[str, ...] = TYPES, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(row_id, source, country, ttype, token) and the columns of `carried`, one row for each token of a record. Tokens are made
+    distinct inside their record (row ids are unique), so nothing is shuffled."""
 
     def typed(kind: str) -> Column:
-        return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("ttype"), x.alias("token")))
+        return F.transform(F.array_distinct(kind), lambda x: F.struct(F.lit(kind).alias("ttype"), x.alias("token")))
 
     each = F.flatten(F.array(*map(typed, types)))
-    return records.select("row_id", "source", "country", F.explode(each).alias("_t")).select("row_id", "source", "country", "_t.ttype", "_t.token").distinct()
+    kept = ["row_id", "source", "country", *carried]
+    return records.select(*kept, F.explode(each).alias("_t")).select(*kept, "_t.ttype", "_t.token")

@@ -40,23 +40,31 @@ def blocking_idf(records: DataFrame, tokens: DataFrame, params: BlockingParams =
 
 
 def scored_pairs(records: DataFrame, params: BlockingParams = BlockingParams(), sample: DataFrame | None = None) -> DataFrame:
-    """(q, r, score) of all pairs that share a token; sample restricts the queries to its row_ids."""
-    tokens = explode_tokens(records, params.types)
+    """(q, r, source, addr_empty, score) of all pairs that share a token; sample restricts the queries to its row_ids. The
+    record's source and channel come with its tokens, so that the pairs need no join with the records."""
+    tokens = explode_tokens(records.withColumn("addr_empty", channel(params)), params.types, ("addr_empty",))
     ours = tokens.filter("source = 1")
     if sample is not None:
         ours = ours.join(sample.select("row_id"), "row_id", "left_semi")
     key = ["country", "ttype", "token"]
     weighted = ours.select(F.col("row_id").alias("q"), *key).join(blocking_idf(records, tokens, params).select(*key, "idf"), key)
-    theirs = tokens.filter("source <> 1").select(F.col("row_id").alias("r"), *key)
-    return weighted.join(theirs, key).groupBy("q", "r").agg(F.round(F.sum("idf"), 9).alias("score"))
+    theirs = tokens.filter("source <> 1").select(F.col("row_id").alias("r"), "source", "addr_empty", *key)
+    return weighted.join(theirs, key).groupBy("q", "r", "source", "addr_empty").agg(F.round(F.sum("idf"), 9).alias("score"))
+
+
+def channel(params: BlockingParams) -> Column:
+    """Whether a record goes by the limit of those without an address."""
+    return F.col("addr_empty") if params.k_empty else F.lit(False)
 
 
 def best_of_channels(pairs: DataFrame, records: DataFrame, params: BlockingParams = BlockingParams()) -> DataFrame:
-    """(q, r, score, rank): rank restarts for each query, source and channel; ties go to the smaller record."""
-    facts = records.filter("source <> 1").select(F.col("row_id").alias("r"), "source", F.col("addr_empty") if params.k_empty else F.lit(False).alias("addr_empty"))
+    """(q, r, score, rank): rank restarts for each query, source and channel; ties go to the smaller record. Pairs with source
+    and addr_empty, as scored_pairs gives them, are not joined with the records."""
+    if "source" not in pairs.columns:
+        pairs = pairs.join(records.filter("source <> 1").select(F.col("row_id").alias("r"), "source", channel(params).alias("addr_empty")), "r")
     line = Window.partitionBy("q", "source", "addr_empty").orderBy(F.desc("score"), "r")
     # a constant bound on the number itself lets Spark drop the rest of a group before the exchange
-    ranked = pairs.join(facts, "r").withColumn("number", F.row_number().over(line)).filter(F.col("number") <= max(params.k, params.k_empty))
+    ranked = pairs.withColumn("number", F.row_number().over(line)).filter(F.col("number") <= max(params.k, params.k_empty))
     if params.k_empty:
         ranked = ranked.filter(F.col("number") <= F.when(F.col("addr_empty"), params.k_empty).otherwise(params.k))
     return ranked.select("q", "r", "score", (F.col("number") - 1).alias("rank"))
