@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinlode.functions.tokens import TYPES, explode_tokens
+from kinlode.operators.token_join import best_pairs
 
 
 @dataclass(frozen=True)
@@ -39,17 +40,19 @@ def blocking_idf(records: DataFrame, tokens: DataFrame, params: BlockingParams =
     return kept.join(n, "country").select("country", "ttype", "token", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
 
 
+def met_idf(records: DataFrame, tokens: DataFrame, params: BlockingParams = BlockingParams()) -> DataFrame:
+    """blocking_idf() of the tokens that a query has as well."""
+    n = records.filter("source <> 1").groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+    both = tokens.groupBy("country", "ttype", "token").agg(F.count_if(F.col("source") != 1).alias("df"), F.count_if(F.col("source") == 1).alias("nq"))
+    kept = both.filter((F.col("df") > 0) & (F.col("nq") > 0) & (F.col("df") <= cap(params)))
+    return kept.join(n, "country").select("country", "ttype", "token", F.log(F.col("n") / F.col("df")).alias("idf"))
+
+
 def scored_pairs(records: DataFrame, params: BlockingParams = BlockingParams(), sample: DataFrame | None = None) -> DataFrame:
-    """(q, r, source, addr_empty, score) of all pairs that share a token; sample restricts the queries to its row_ids. The
-    record's source and channel come with its tokens, so that the pairs need no join with the records."""
-    tokens = explode_tokens(records.withColumn("addr_empty", channel(params)), params.types, ("addr_empty",))
-    ours = tokens.filter("source = 1")
-    if sample is not None:
-        ours = ours.join(sample.select("row_id"), "row_id", "left_semi")
-    key = ["country", "ttype", "token"]
-    weighted = ours.select(F.col("row_id").alias("q"), *key).join(blocking_idf(records, tokens, params).select(*key, "idf"), key)
-    theirs = tokens.filter("source <> 1").select(F.col("row_id").alias("r"), "source", "addr_empty", *key)
-    return weighted.join(theirs, key).groupBy("q", "r", "source", "addr_empty").agg(F.round(F.sum("idf"), 9).alias("score"))
+    """(q, r, source, addr_empty, score) of pairs that share a token: all that best_of_channels() can keep, and no more than the
+    best of each tile. sample restricts the queries to its row_ids."""
+    weights = met_idf(records, explode_tokens(records, params.types), params)
+    return best_pairs(records, weights, channel(params), params.k, params.k_empty, params.types, sample)
 
 
 def channel(params: BlockingParams) -> Column:
