@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kinlode.functions import addresses, names, script, tokens
 from kinlode.functions.similarity import similarity
 from kinlode.operators import blocking, decide, evaluate, features, graph_features, model
-from kinlode.plans import features_sql, normaliser_sql
+from kinlode.plans import features_sql, normaliser_sql, scratch
 from kinlode.sources import tsv
 
 PARAMS = blocking.BlockingParams()  # as in production: best 20 and 8, all types, tokens of at most 5000 records
@@ -53,10 +53,15 @@ def entities(spark, sf_dir):
     return rec_view(spark, sf_dir).filter("source = 1").select(F.col("row_id").alias("q"), F.col("country").alias("grp"))
 
 
-def cands(spark, sf_dir):
+def blocked(spark, sf_dir):
     return blocking.block(records(spark, sf_dir), PARAMS)
 
 
+def cands(spark, sf_dir):
+    """The candidates from a table of their own: what follows reads them twice or more, and blocking's shuffle files can go."""
+    return scratch.written(blocked(spark, sf_dir), "candidates")
+
+
 def with_p(pairs):
     return pairs.withColumn("p", F.round(F.col("score") / (F.col("score") + 20), 6))
 
@@ -187,8 +192,13 @@ def q_lists(name, pairs):
     return lambda spark, sf_dir: tsv.id_lists(rec_view(spark, sf_dir), pairs(spark, sf_dir), name).drop("q")
 
 
-def kept(spark, sf_dir):
-    return decide.decide(with_p(cands(spark, sf_dir)), decide.DecisionParams(True, "threshold", 0.6)).select("q", "r")
+def kept(spark, sf_dir, found=None):
+    return decide.decide(with_p(found or cands(spark, sf_dir)), decide.DecisionParams(True, "threshold", 0.6)).select("q", "r")
+
+
+def q_errors(spark, sf_dir):
+    found = cands(spark, sf_dir)
+    return evaluate.errors(entities(spark, sf_dir), found, kept(spark, sf_dir, found), truth(spark, sf_dir))
 
 
 def queries() -> dict:
@@ -203,7 +213,7 @@ def queries() -> dict:
         "token_idf_blocking": lambda s, d: round_all(blocking.blocking_idf(records(s, d), light_tokens(s, d), PARAMS)),
         "token_idf_feature": lambda s, d: round_all(features.feature_idf(records(s, d), ("name", "addrw"))),
         "block_key_a": lambda s, d: blocking.block_by_keys(keyed(s, d), PARAMS.max_df),
-        "block_meta_b": lambda s, d: cands(s, d).withColumn("score", F.round("score", 6)),
+        "block_meta_b": lambda s, d: blocked(s, d).withColumn("score", F.round("score", 6)),
         "block_one_channel": lambda s, d: blocking.block(records(s, d), blocking.BlockingParams(k=5, k_empty=0)).select("q", "r", "rank"),
         "block_sample": lambda s, d: blocking.block(records(s, d), PARAMS, model.sample_queries(entities(s, d), 0.5).select(F.col("q").alias("row_id"))).select("q", "r", "rank"),
         "pair_labels": lambda s, d: blocking.with_labels(cands(s, d), truth(s, d)).select("q", "r", "y"),
@@ -226,7 +236,7 @@ def queries() -> dict:
         "f05_breakdown": lambda s, d: round_all(evaluate.breakdown(entities(s, d), kept(s, d), truth(s, d))),
         "blocking_report": lambda s, d: round_all(evaluate.blocking_report(entities(s, d), cands(s, d), truth(s, d))),
         "blocking_report_groups": lambda s, d: round_all(evaluate.blocking_report(entities(s, d), cands(s, d), truth(s, d), "grp")),
-        "error_kinds": lambda s, d: evaluate.errors(entities(s, d), cands(s, d), kept(s, d), truth(s, d)),
+        "error_kinds": q_errors,
         "folds": lambda s, d: entities(s, d).select("q", model.bucket(F.col("q"), 3).alias("fold")),
         "s1_sample": lambda s, d: model.sample_queries(entities(s, d), 0.4).select("q"),
         "matching_results": q_lists("matched_entity_ids", kept), "candidate_pairs": q_lists("candidate_entity_ids", lambda s, d: cands(s, d).select("q", "r")),

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinlode.operators import blocking, token_join
+from kinlode.plans import queries
 
 SCHEMA = "row_id long, source int, country string, addr_empty boolean, name array<string>, addrw array<string>"
 
@@ -50,3 +51,9 @@ def test_only_the_best_come_back(spark):
     rows = [(i, 1 + i % 3, "a", False, ["same", f"x{i}"], []) for i in range(90)]
     pairs = blocking.scored_pairs(spark.createDataFrame(rows, SCHEMA), blocking.BlockingParams(k=2, types=("name", "addrw")))
     assert pairs.count() == 30 * 2 * 2
+
+
+def test_candidates_are_read_from_a_table(spark, sf_dir):
+    """Queries on the candidates do not block again for each use."""
+    found = queries.cands(spark, sf_dir)
+    assert "Window" not in found._jdf.queryExecution().toString() and len(found.inputFiles()) > 0
