@@ -3,9 +3,13 @@
 Two sets with a Jaccard of at least 4/5 share an element among the first n - ceil(4n/5) + 1 of each, in any one order of
 all elements (prefix filter). The order puts shingles that a sample of the documents shows often last, so buckets of a
 prefix shingle stay small; the sample changes the work, never the result. In a bucket, odd sketches (parities of the
-shingles in 1024 bins) differ in at most as many bits as the sets differ in elements, so a pair whose sketches differ in
-more than (n + m) / 9 bits is out for certain. What is left is compared set by set. Of a bucket above FEW documents
-a first round takes a spanning forest of the likeliest pairs; a second takes all that still lie in two components.
+shingles in a bin or more for each) differ in at most as many bits as the sets differ in elements, so a pair whose sketches
+differ in more than (n + m) / 9 bits is out for certain. What is left is compared set by set.
+
+Links come in three rounds, each checked by the sets themselves. The first is SimHash (simhash.py): fingerprints of the
+same shingles, linked at four or fewer differing bits. Most pairs of similarity 0.8 to 0.95 differ in more, so the buckets
+follow, for pairs that still lie in two components: first a spanning forest of the likeliest pairs of each bucket above
+FEW documents and all pairs of the others, then all that is left.
 
 Defined results: shingles are of lower-cased (ASCII) words; a text below five words is one shingle, and a text without
 words is one, too. Rows are told apart by id and text, so a null id is no exception; of a component the row of the smallest
@@ -20,12 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlode.llm import common
+from kinlode.llm import common, simhash
 from kinlode.llm import kernels as K
 from kinlode.llm.graph import components
 from kinlode.llm.simhash import SEED, _forest, _small_groups
 
-SHINGLE, BINS = 5, 1024
+#: Words of a shingle, and bins of a sketch at least and at most (sets of more than twice the most all look alike).
+SHINGLE, BINS, MOST_BINS = 5, 1 << 10, 1 << 16
 #: Documents in the sample that finds frequent shingles, and shingles kept from it.
 SAMPLE, FREQUENT = 5000, 20_000
 #: Documents that a chunk of a bucket holds; a tile holds two chunks.
@@ -54,15 +59,20 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 9 * both >= 4 * (len(x) + len(y))
 
 
+def odd(found: np.ndarray, bins: int) -> bytes:
+    """An odd sketch: the parity of the elements of each bin."""
+    ones = np.bincount((found & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint8) & 1
+    return np.packbits(ones, bitorder="little").tobytes()
+
+
 def sketch(found: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((found >> np.uint64(54)).astype(np.int64), minlength=BINS).astype(np.uint8) & 1).tobytes()
+    """An odd sketch of a bin or more for each element, up to MOST_BINS."""
+    return odd(found, min(MOST_BINS, max(BINS, 1 << (len(found) - 1).bit_length())))
 
 
 def wide(found: np.ndarray) -> bytes:
     """An odd sketch of four bins or more for each element."""
-    bins = 1 << max(10, (4 * len(found) - 1).bit_length())
-    odd = np.bincount((found & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint8) & 1
-    return np.packbits(odd, bitorder="little").tobytes()
+    return odd(found, 1 << max(10, (4 * len(found) - 1).bit_length()))
 
 
 def apart(x: bytes, y: bytes) -> int:
@@ -135,19 +145,33 @@ def shared_keys(facts: DataFrame) -> DataFrame:
 
 
 def tiles(shared: DataFrame, facts: DataFrame, tile: int = TILE) -> DataFrame:
-    """(bucket, many, node, n, sketch): the documents of each shared key; buckets above a tile are cut."""
+    """(bucket, many, node, n, sketch, component): the documents of each shared key; buckets above a tile are cut."""
     c = F.ceil(F.col("size") / tile).cast("int")
     own = F.pmod(F.xxhash64("node"), c).cast("int")
     at = F.transform(F.sequence(F.lit(0), c - 1), lambda j: F.least(own, j) * c + F.greatest(own, j))
     dealt = shared.select("node", (F.col("size") > FEW).alias("many"), "key", F.explode(at).alias("tile"))
-    return dealt.select(F.xxhash64("key", "tile").alias("bucket"), "many", "node").join(facts.select("node", "n", "sketch"), "node")
+    return dealt.select(F.xxhash64("key", "tile").alias("bucket"), "many", "node").join(facts.select("node", "n", "sketch", "component"), "node")
 
 
-def _possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Those of the pairs that the sizes and sketches leave possible, with their share of different bits."""
+def _possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, bits: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the pairs that the sizes and sketches (bits, of so many bytes) leave possible, with their share of different
+    bits; of two sketches the larger is folded to the size of the smaller."""
     fit = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
     i, j = i[fit], j[fit]
-    d = np.concatenate([np.bitwise_count(bits[i[a : a + 65536]] ^ bits[j[a : a + 65536]]).sum(axis=1, dtype=np.int64) for a in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
+    both, d = np.minimum(width[i], width[j]), np.zeros(len(i), dtype=np.int64)
+    for size in np.unique(both).tolist():
+        at = np.flatnonzero(both == size)
+        rows, ends = np.unique(np.stack([i[at], j[at]]), return_inverse=True)
+        ends, even = ends.reshape(2, -1), np.empty((len(rows), size // 8), dtype=np.uint64)
+        for own in np.unique(width[rows]).tolist():
+            these = width[rows] == own
+            part = np.frombuffer(b"".join(bits[rows[these]]), dtype=np.uint64).reshape(-1, own // 8)
+            while part.shape[1] > even.shape[1]:
+                part = part[:, : part.shape[1] // 2] ^ part[:, part.shape[1] // 2 :]
+            even[these] = part
+        step = max(1, (1 << 23) // size)
+        for a in range(0, len(at), step):
+            d[at[a : a + step]] = np.bitwise_count(even[ends[0, a : a + step]] ^ even[ends[1, a : a + step]]).sum(axis=1, dtype=np.int64)
     ok = 9 * d <= n[i] + n[j]
     return i[ok], j[ok], d[ok] / (n[i[ok]] + n[j[ok]])
 
@@ -166,21 +190,22 @@ def _likeliest(size: int, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> tuple[
 
 
 def candidates(group: list[np.ndarray], again: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes from rows (bucket, many, node, n, bits, component) sorted by bucket."""
+    """Pairs of nodes of two components from rows (bucket, many, node, n, bits, component) sorted by bucket."""
     bucket, many, node, n, bits, component = group
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     size = np.diff(np.append(first, len(bucket)))
+    width = np.fromiter(map(len, bits), dtype=np.int64, count=len(bits))
     left, right = [], []
     few = (size > 1) & ~many[first]
     if few.any() and not again:
-        i, j, _ = _possible(*_small_groups(first[few], size[few]), n, bits)
+        i, j = _small_groups(first[few], size[few])
+        apart = component[i] != component[j]
+        i, j, _ = _possible(i[apart], j[apart], n, bits, width)
         left.append(i), right.append(j)
     for a, m in zip(first[(size > 1) & many[first]].tolist(), size[(size > 1) & many[first]].tolist(), strict=True):
         i, j = np.triu_indices(m, 1)
-        if again:
-            apart = component[a + i] != component[a + j]
-            i, j = i[apart], j[apart]
-        i, j, w = _possible(i + a, j + a, n, bits)
+        apart = component[a + i] != component[a + j]
+        i, j, w = _possible(i[apart] + a, j[apart] + a, n, bits, width)
         if not again:
             i, j = _likeliest(m, i - a, j - a, w)
             i, j = i + a, j + a
@@ -196,8 +221,7 @@ def possible_pairs(rows: DataFrame, again: bool) -> DataFrame:
     def scan(batches):
         rest = None
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint64).reshape(-1, BINS // 64)
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)] + [raw, batch.column(5).to_numpy()]
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
             if not len(now[0]):
@@ -268,23 +292,38 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def alike(prints: DataFrame) -> DataFrame:
+    """(a, b) from written (node, fp): pairs that connect all nodes whose fingerprints SimHash links."""
+    first = common.materialise(prints.groupBy("fp").agg(F.min("node").alias("id")), "near-prints")
+    same = prints.join(first, "fp").filter("node <> id").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    return same.unionAll(simhash.links(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def with_component(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """nodes with the component of each, itself where it has none."""
+    out = nodes.join(groups.select(F.col("id").alias("node"), "component"), "node", "left")
+    return out.withColumn("component", F.coalesce("component", "node"))
+
+
 def near_groups(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """(id, component) of the nodes (content keys) that have a near duplicate."""
     texts = docs.select(common.content_key().alias("node"), common.whole().alias("text"))
     if not texts.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
         texts = texts.dropDuplicates(["node"])
-    facts = common.materialise(described(texts), "near-facts")
+    prints = common.materialise(simhash.fingerprints(docs, SHINGLE).select(F.col("tkey").alias("node"), "fp").distinct(), "near-prints")
+    links = verified(common.materialise(alike(prints), "near-pairs"), texts)
+    common.release(docs.sparkSession)
+    facts = common.materialise(with_component(described(texts), components(links)), "near-facts")
     shared = shared_keys(facts)
     rows = common.materialise(tiles(shared, facts, tile), "near-tiles")
-    for table in (facts, shared):
+    for table in (prints, facts, shared):
         common.drop(table)
     common.release(docs.sparkSession)
-    tried = common.materialise(possible_pairs(rows.withColumn("component", F.col("node")), False), "near-pairs")
-    links = verified(tried, texts)
+    tried = common.materialise(possible_pairs(rows, False), "near-pairs")
+    links = links.unionAll(verified(tried, texts))
     common.release(docs.sparkSession)
     groups = components(links)
-    left = rows.filter("many").join(groups.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = common.materialise(possible_pairs(left, True).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    more = common.materialise(possible_pairs(with_component(rows.filter("many").drop("component"), groups), True).join(tried, ["a", "b"], "left_anti"), "near-pairs")
     if not more.isEmpty():
         groups = components(links.unionAll(verified(more, texts)))
     for table in (rows, tried, more):

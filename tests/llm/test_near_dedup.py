@@ -90,3 +90,28 @@ def test_marks_hold_every_node(spark):
     low = nodes.view(np.uint64) & np.uint64(8 * len(found) - 1)
     assert (found[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1).all()
     assert 200 < int(np.bitwise_count(found).sum()) <= 400
+
+
+def test_near_groups_link_by_simhash(spark, monkeypatch):
+    """What SimHash links is found without the buckets, and only what the sets confirm."""
+    monkeypatch.setattr(near_dedup, "possible_pairs", lambda rows, again: spark.createDataFrame([], "a long, b long"))
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    texts = [" ".join(words), " ".join(words + ["end"]), " ".join(words) + "  ", " ".join(reversed(words)), "", " \n"]
+    got = near_dedup.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()
+    assert {r.doc_id for r in got} == brute_kept(list(enumerate(texts)))[0] == {0, 3, 4}
+
+
+def test_sketches_of_long_sets_tell_them_apart():
+    """Long documents that share a passage give no pair; those at the threshold give one, across sizes of sketches as well."""
+    rng = np.random.default_rng(8)
+    fresh = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+    passage, long = fresh(40), fresh(4000)
+    sets = [np.unique(np.concatenate([passage, fresh(n)])) for n in (2500, 3000, 4000, 5000, 5500, 8000, 12000)]
+    sets += [np.unique(np.concatenate([passage, long])), np.unique(np.concatenate([passage, long, fresh(400)]))]
+    m = len(sets)
+    n, bits = np.array(list(map(len, sets))), np.array(list(map(near_dedup.sketch, sets)), dtype=object)
+    assert len(bits[m - 2]) < len(bits[m - 1])
+    for again in (False, True):
+        a, b = near_dedup.candidates([np.zeros(m, np.int64), np.ones(m, bool), np.arange(m), n, bits, np.arange(m)], again)
+        assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(m - 2, m - 1)]
