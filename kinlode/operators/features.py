@@ -63,17 +63,31 @@ def context_features(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"blk_frac_qmax": share(q), "r_ncand": F.count(F.lit(1)).over(r), "r_rank": F.row_number().over(r.orderBy(F.desc("score"), "q")) - 1, "blk_frac_rmax": share(r)})
 
 
-def record_keys(records: DataFrame) -> DataFrame:
-    """(row_id, code, compact, address): first code, name and address without spaces; null where missing."""
+def record_keys(records: DataFrame, *more: str) -> DataFrame:
+    """(row_id, code, compact, address): first code, name and address without spaces; null where missing. more: other columns."""
     known = lambda c: F.when(c != "", c)
-    return records.select("row_id", known(F.get(F.split("codes", " "), F.lit(0))).alias("code"), known(F.replace("name_core", F.lit(" "), F.lit(""))).alias("compact"), known(F.replace("addr_norm", F.lit(" "), F.lit(""))).alias("address"))
+    return records.select("row_id", known(F.get(F.split("codes", " "), F.lit(0))).alias("code"), known(F.replace("name_core", F.lit(" "), F.lit(""))).alias("compact"), known(F.replace("addr_norm", F.lit(" "), F.lit(""))).alias("address"), *more)
+
+
+def _key_of_query(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    return pairs.join(record_keys(records).select(F.col("row_id").alias("q"), F.col("code").alias("q_code")), "q")
+
+
+def _keys_of_record(pairs: DataFrame, records: DataFrame, *more: str) -> DataFrame:
+    names = {"row_id": "r", "code": "r_code", "compact": "r_name", "address": "r_addr"}
+    keys = record_keys(records, *more)
+    return pairs.join(keys.select(*[F.col(c).alias(names.get(c, f"r_{c}")) for c in keys.columns]), "r")
 
 
 def with_keys(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """Adds r_code, r_name, r_addr and q_code."""
-    keys = record_keys(records)
-    out = pairs.join(keys.select(F.col("row_id").alias("r"), F.col("code").alias("r_code"), F.col("compact").alias("r_name"), F.col("address").alias("r_addr")), "r")
-    return out.join(keys.select(F.col("row_id").alias("q"), F.col("code").alias("q_code")), "q")
+    return _key_of_query(_keys_of_record(pairs, records), records)
+
+
+def with_facts(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """with_keys(), r_source and r_addr_empty. The pairs go by q while they are narrow, then once by r: a join or window on r
+    that follows needs no further exchange."""
+    return _keys_of_record(_key_of_query(pairs, records), records, "source", "addr_empty")
 
 
 def support_features(keyed: DataFrame) -> DataFrame:

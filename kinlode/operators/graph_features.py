@@ -22,26 +22,29 @@ def competition(pairs: DataFrame) -> DataFrame:
 
 
 def mass(pairs: DataFrame) -> DataFrame:
-    """Adds the eleven mass features to (q, r, p, r_code, r_name, r_addr, q_code, r_source, r_addr_empty)."""
-    q = Window.partitionBy("q")
-    agree = lambda key: F.when(F.col(key).isNotNull(), F.sum("p").over(Window.partitionBy("q", key)) - F.col("p"))
-    clusters = pairs.filter("r_code is not null").groupBy("q", "r_code").agg(F.sum("p").alias("m"))
-    line = Window.partitionBy("q").orderBy(F.desc("m"), "r_code")
-    ranked = clusters.withColumn("n", F.row_number().over(line))
-    two = ranked.filter("n <= 2").groupBy("q").agg(F.max(F.when(F.col("n") == 1, F.col("r_code"))).alias("_code"), F.max(F.when(F.col("n") == 1, F.col("m"))).alias("_m1"), F.max(F.when(F.col("n") == 2, F.col("m"))).alias("_m2"))
-    other = F.greatest(F.coalesce(F.when(F.col("r_code") == F.col("_code"), F.col("_m2")).otherwise(F.col("_m1")), F.lit(0.0)), F.lit(0.0))
-    code = Window.partitionBy("q", "r_code")
+    """Adds the eleven mass features to (q, r, p, r_code, r_name, r_addr, q_code, r_source, r_addr_empty). The window on r comes
+    first, then the pairs go by q once, which serves every window of a query and of its parts."""
+    q, code, source = Window.partitionBy("q"), Window.partitionBy("q", "r_code"), Window.partitionBy("q", "r_source")
+    part = lambda c: F.sum(F.when(c, F.col("p")).otherwise(0.0))
+    out = pairs.withColumn("r_n_claim_01", F.sum(F.when(F.col("p") > 0.1, 1).otherwise(0)).over(Window.partitionBy("r")))
+    out = out.withColumns({"q_sum_p1_empty": part(F.col("r_addr_empty")).over(q), "q_sum_p1_nonempty": part(~F.col("r_addr_empty")).over(q)})
+    coded = lambda c: F.when(F.col("r_code").isNotNull(), c)
     of = lambda s: F.max(F.when(F.col("r_source") == s, F.col("p"))).over(code)
     across = F.coalesce(F.when(F.col("r_source") == 2, of(3)).otherwise(of(2)), F.lit(0.0))
-    source = Window.partitionBy("q", "r_source")
-    coded = lambda c: F.when(F.col("r_code").isNotNull(), c)
-    part = lambda c: F.sum(F.when(c, F.col("p")).otherwise(0.0))
-    return pairs.join(two, "q", "left").withColumns({
-        "code_mass": agree("r_code"), "name_mass": agree("r_name"), "addr_mass": agree("r_addr"), "other_cluster_mass": coded(other),
-        "own_cluster_is_q_code": coded(F.coalesce(F.col("r_code") == F.col("q_code"), F.lit(False)).cast("int")), "xsrc_code_p": coded(across),
+    out = out.withColumns({"_m": coded(F.sum("p").over(code)), "xsrc_code_p": coded(across)})
+    # the heaviest code of the query, and the heaviest but for that; of equal ones any serves
+    out = out.withColumn("_top", F.max(coded(F.struct("_m", "r_code"))).over(q))
+    own = F.col("r_code") == F.col("_top.r_code")
+    out = out.withColumn("_second", F.max(F.when(~own, F.col("_m"))).over(q))
+    other = F.greatest(F.coalesce(F.when(own, F.col("_second")).otherwise(F.col("_top._m")), F.lit(0.0)), F.lit(0.0))
+    agree = lambda key: F.when(F.col(key).isNotNull(), F.sum("p").over(Window.partitionBy("q", key)) - F.col("p"))
+    out = out.withColumns({
+        "code_mass": F.col("_m") - F.col("p"), "name_mass": agree("r_name"), "addr_mass": agree("r_addr"), "other_cluster_mass": coded(other),
+        "own_cluster_is_q_code": coded(F.coalesce(F.col("r_code") == F.col("q_code"), F.lit(False)).cast("int")),
         "p1_rank_q_src": F.row_number().over(source.orderBy(F.desc("p"), "r")) - 1, "q_src_sum_p1": F.sum("p").over(source),
-        "q_sum_p1_empty": part(F.col("r_addr_empty")).over(q), "q_sum_p1_nonempty": part(~F.col("r_addr_empty")).over(q), "r_n_claim_01": F.sum(F.when(F.col("p") > 0.1, 1).otherwise(0)).over(Window.partitionBy("r")),
-    }).drop("_code", "_m1", "_m2")
+    })
+    added = ("code_mass", "name_mass", "addr_mass", "other_cluster_mass", "own_cluster_is_q_code", "xsrc_code_p", "p1_rank_q_src", "q_src_sum_p1", "q_sum_p1_empty", "q_sum_p1_nonempty", "r_n_claim_01")
+    return out.select(*pairs.columns, *added)
 
 
 def neighbour_pairs(pairs: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:

@@ -41,8 +41,7 @@ def prepare(records: DataFrame, stages: Stages) -> DataFrame:
 
 def second_stage(base: DataFrame, scored: DataFrame, records: DataFrame) -> DataFrame:
     """First-stage features, and competition, mass and neighbour features of the first-stage p."""
-    facts = records.select(F.col("row_id").alias("r"), F.col("source").alias("r_source"), F.col("addr_empty").alias("r_addr_empty"))
-    keyed = features.with_keys(scored, records).join(facts, "r")
+    keyed = features.with_facts(scored, records)
     drop = ("p", "r_code", "r_name", "r_addr", "q_code", "r_source", "r_addr_empty")
     more = graph_features.mass(graph_features.competition(keyed)).drop(*drop)
     near = graph_features.neighbours(keyed, records)

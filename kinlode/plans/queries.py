@@ -68,9 +68,7 @@ def with_p(pairs):
 
 def graph(spark, sf_dir):
     """Candidates with a stand-in probability, keys and record facts."""
-    r = records(spark, sf_dir)
-    facts = r.select(F.col("row_id").alias("r"), F.col("source").alias("r_source"), F.col("addr_empty").alias("r_addr_empty"))
-    return features.with_keys(with_p(cands(spark, sf_dir)), r).join(facts, "r")
+    return features.with_facts(with_p(cands(spark, sf_dir)), records(spark, sf_dir))
 
 
 def round_all(df, digits=6):
