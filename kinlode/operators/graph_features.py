@@ -1,6 +1,6 @@
 """Second-stage features over scored pairs (q, r, p): competition, mass of agreeing candidates, neighbours."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinlode.functions.similarity import similarity
@@ -47,16 +47,18 @@ def mass(pairs: DataFrame) -> DataFrame:
     return out.select(*pairs.columns, *added)
 
 
+def _uncertain(pairs: DataFrame, low: float, high: float, *facts: str) -> DataFrame:
+    """Uncertain pairs with n1 and n2, the two most probable other candidates of the same query: structs of r, p and facts."""
+    line = Window.partitionBy("q").orderBy(F.desc("p"), "r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    three = {f"_{i}": F.nth_value(F.struct("r", "p", *facts), i).over(line) for i in (1, 2, 3)}
+    unsure = pairs.select("q", "r", "p", "r_addr_empty", *facts).withColumns(three).filter(F.col("r_addr_empty") | ((F.col("p") > low) & (F.col("p") < high)))
+    others = F.filter(F.array(*three), lambda x: x["r"] != F.col("r"))
+    return unsure.withColumns({"n1": F.get(others, F.lit(0)), "n2": F.get(others, F.lit(1))}).drop(*three)
+
+
 def neighbour_pairs(pairs: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """(q, r, p, n1, p1n, n2, p2n) of uncertain pairs: the two most probable other candidates of the same query."""
-    line = Window.partitionBy("q").orderBy(F.desc("p"), "r")
-    place = pairs.withColumn("_n", F.row_number().over(line))
-    three = place.filter("_n <= 3").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("_n", "r", "p"))).alias("_top"))
-    unsure = place.filter(F.col("r_addr_empty") | ((F.col("p") > low) & (F.col("p") < high)))
-    others = lambda: F.filter("_top", lambda x: x["r"] != F.col("r"))
-    pick: list[Column] = [F.get(others(), F.lit(i)) for i in (0, 1)]
-    out = unsure.join(three, "q")
-    return out.select("q", "r", "p", *[c[f].alias(n) for c, names in zip(pick, (("n1", "p1n"), ("n2", "p2n")), strict=True) for f, n in zip(("r", "p"), names, strict=True)])
+    return _uncertain(pairs, low, high).select("q", "r", "p", F.col("n1.r").alias("n1"), F.col("n1.p").alias("p1n"), F.col("n2.r").alias("n2"), F.col("n2.p").alias("p2n"))
 
 
 def neighbours(pairs: DataFrame, records: DataFrame) -> DataFrame:

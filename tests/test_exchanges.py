@@ -26,6 +26,11 @@ def test_mass(spark, sf_dir, sorted_joins):
     assert dealt(graph_features.mass(queries.graph(spark, sf_dir))) == ["q"] * 3 + ["r"] * 2
 
 
-@pytest.mark.parametrize("name", ["mass"])
+def test_neighbour_pairs(spark, sf_dir, sorted_joins):
+    """The three best come from the window of the query: no second branch makes the graph again."""
+    assert dealt(graph_features.neighbour_pairs(queries.graph(spark, sf_dir))) == ["q"] * 3 + ["r"] * 2
+
+
+@pytest.mark.parametrize("name", ["mass", "neighbour_pairs"])
 def test_same_as_sql(spark, sf_dir, name):
     assert compare(spark, sf_dir, name)
