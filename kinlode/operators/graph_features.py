@@ -61,12 +61,11 @@ def neighbour_pairs(pairs: DataFrame, low: float = 0.02, high: float = 0.98) ->
     return _uncertain(pairs, low, high).select("q", "r", "p", F.col("n1.r").alias("n1"), F.col("n1.p").alias("p1n"), F.col("n2.r").alias("n2"), F.col("n2.p").alias("p2n"))
 
 
-def neighbours(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """(q, r, nb1_name, nb1_p, nb2_name, nb2_p, nb1_addr, nb_name_max_w) of uncertain pairs; others have no row."""
-    out = neighbour_pairs(pairs)
-    for side in ("r", "n1", "n2"):
-        facts = records.select(F.col("row_id").alias(side), F.col("name_core").alias(f"{side}_name"), F.when(~F.col("addr_empty"), F.col("addr_norm")).alias(f"{side}_addr"))
-        out = out.join(facts, side, "left")
-    out = out.select("q", "r", similarity("token_set", F.col("r_name"), F.col("n1_name")).alias("nb1_name"), F.col("p1n").alias("nb1_p"), similarity("token_set", F.col("r_name"), F.col("n2_name")).alias("nb2_name"), F.col("p2n").alias("nb2_p"), similarity("token_set", F.col("r_addr"), F.col("n1_addr")).alias("nb1_addr"))
+def neighbours(pairs: DataFrame, records: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """(q, r, nb1_name, nb1_p, nb2_name, nb2_p, nb1_addr, nb_name_max_w) of uncertain pairs; others have no row. Candidates have
+    their names before they go by q, so that neighbours need no join of their own."""
+    facts = records.select(F.col("row_id").alias("r"), F.col("name_core").alias("name"), F.when(~F.col("addr_empty"), F.col("addr_norm")).alias("addr"))
+    out = _uncertain(pairs.select("q", "r", "p", "r_addr_empty").join(facts, "r", "left"), low, high, "name", "addr")
+    out = out.select("q", "r", similarity("token_set", F.col("name"), F.col("n1.name")).alias("nb1_name"), F.col("n1.p").alias("nb1_p"), similarity("token_set", F.col("name"), F.col("n2.name")).alias("nb2_name"), F.col("n2.p").alias("nb2_p"), similarity("token_set", F.col("addr"), F.col("n1.addr")).alias("nb1_addr"))
     weighted = lambda i: F.coalesce(F.col(f"nb{i}_name") * F.col(f"nb{i}_p"), F.lit(0.0))
     return out.withColumn("nb_name_max_w", F.greatest(weighted(1), weighted(2)))

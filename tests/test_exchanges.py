@@ -31,6 +31,12 @@ def test_neighbour_pairs(spark, sf_dir, sorted_joins):
     assert dealt(graph_features.neighbour_pairs(queries.graph(spark, sf_dir))) == ["q"] * 3 + ["r"] * 2
 
 
+def test_neighbour_features(spark, sf_dir, sorted_joins):
+    """Names come with the candidates; the neighbours are not joined with the records."""
+    found = graph_features.neighbours(queries.graph(spark, sf_dir), queries.records(spark, sf_dir))
+    assert dealt(found) == ["q"] * 3 + ["r"] * 3
+
+
 @pytest.mark.parametrize("name", ["mass", "neighbour_pairs"])
 def test_same_as_sql(spark, sf_dir, name):
     assert compare(spark, sf_dir, name)
