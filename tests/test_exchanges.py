@@ -40,3 +40,14 @@ def test_neighbour_features(spark, sf_dir, sorted_joins):
 @pytest.mark.parametrize("name", ["mass", "neighbour_pairs"])
 def test_same_as_sql(spark, sf_dir, name):
     assert compare(spark, sf_dir, name)
+
+
+DECISIONS = {
+    "decide_threshold": ["r"],
+}
+
+
+@pytest.mark.parametrize("name", DECISIONS)
+def test_decisions(spark, sf_dir, sorted_joins, name):
+    """They start from the written candidates: nothing of blocking is dealt out again, and the pairs go by r once."""
+    assert dealt(queries.queries()[name](spark, sf_dir)) == DECISIONS[name]
