@@ -45,6 +45,7 @@ def test_same_as_sql(spark, sf_dir, name):
 DECISIONS = {
     "decide_threshold": ["r"],
     "f05_entity": ["lang"] * 2 + ["q"] * 4 + ["r"],
+    "f05_macro": ["lang"] * 2 + ["q"] * 4 + ["r"],
 }
 
 
