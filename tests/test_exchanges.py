@@ -46,6 +46,7 @@ DECISIONS = {
     "decide_threshold": ["r"],
     "f05_entity": ["lang"] * 2 + ["q"] * 4 + ["r"],
     "f05_macro": ["lang"] * 2 + ["q"] * 4 + ["r"],
+    "matching_results": ["q"] * 2 + ["r"] * 2,
 }
 
 
