@@ -47,10 +47,11 @@ DECISIONS = {
     "f05_entity": ["lang"] * 2 + ["q"] * 4 + ["r"],
     "f05_macro": ["lang"] * 2 + ["q"] * 4 + ["r"],
     "matching_results": ["q"] * 2 + ["r"] * 2,
+    "output_check": ["q"] * 2 + ["r"] * 2 + ["source1_entity_id"],
 }
 
 
 @pytest.mark.parametrize("name", DECISIONS)
 def test_decisions(spark, sf_dir, sorted_joins, name):
-    """They start from the written candidates: nothing of blocking is dealt out again, and the pairs go by r once."""
+    """They start from the written candidates: nothing of blocking is dealt out again, and the pairs go by r once (a second r is the records')."""
     assert dealt(queries.queries()[name](spark, sf_dir)) == DECISIONS[name]
